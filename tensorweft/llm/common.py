@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,7 @@ SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 
 _own_dir: str | None = None
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,21 +40,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver has it from; once for each Spark context."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tensorweft-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(target := f"{folder}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(target)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tensorweft/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut and lost executors lose nothing.
 
-    Shuffle files of the write are released with it, so that a query of several phases holds those of one at a time.
+    by: a column to lay the files out by. Shuffle files of the write are released with it, so that a query of several
+    phases holds those of one at a time.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -87,6 +106,7 @@ def annotate(df: DataFrame, inputs: Sequence[str], fn: Callable[..., Sequence[Se
     fn gets a slice of rows, one list per input, and returns one list per column. keep: the columns of df that stay
     (default all); a kept column with the name of a computed one gives way to it, in either case.
     """
+    ship(df.sparkSession)
     made = T._parse_datatype_string(ddl)
     taken = {f.name.lower() for f in made.fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
@@ -113,6 +133,7 @@ def annotate(df: DataFrame, inputs: Sequence[str], fn: Callable[..., Sequence[Se
 
 def emit(df: DataFrame, inputs: Sequence[str], fn: Callable[..., Sequence], ddl: str) -> DataFrame:
     """Like annotate, but fn returns columns of any length: rows made from a slice of rows."""
+    ship(df.sparkSession)
     made = T._parse_datatype_string(ddl)
     names = [f"x{i}" for i in range(len(inputs))]
     src = df.select(*[quoted(c).alias(n) for c, n in zip(inputs, names, strict=True)])
