@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tensorweft.llm.common import annotate, discard, emit, materialise, quoted
 
 TARGET = 13
+#: Ranges of window hashes that are met one after the other.
+PARTS = 4
 
 
 def levels(target: int, start: int | None = None) -> list[int]:
@@ -37,6 +39,19 @@ def levels(target: int, start: int | None = None) -> list[int]:
     return out
 
 
+class Hashes(dict):
+    """Word to the 16 bytes of its 128-bit hash as two native longs."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        import struct
+
+        import xxhash
+
+        x = xxhash.xxh3_128_intdigest(word)
+        self[word] = out = struct.pack("=QQ", x >> 64, x & 0xFFFFFFFFFFFFFFFF)
+        return out
+
+
 class Hasher:
     """Windows of words as linear sums of the words' 128-bit hashes, in two 64-bit halves, over an array of texts."""
 
@@ -46,19 +61,15 @@ class Hasher:
         rng = np.random.default_rng(20)
         self.high = (rng.integers(1, 1 << 62, longest, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
         self.low = (rng.integers(1, 1 << 62, longest, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.seen: dict[bytes, tuple[int, int]] = {}
+        self.seen = Hashes()
 
     def words(self, words: Sequence[bytes]):
         import numpy as np
-        import xxhash
 
         if len(self.seen) > 500_000:
             self.seen.clear()
-        seen, wide = self.seen, xxhash.xxh3_128_digest
-        for w in set(words).difference(seen):
-            seen[w] = wide(w)
-        pairs = np.frombuffer(b"".join(map(seen.__getitem__, words)), ">u8").astype(np.uint64).reshape(-1, 2)
-        return pairs[:, 0].copy(), pairs[:, 1].copy()
+        pairs = np.frombuffer(b"".join(map(self.seen.__getitem__, words)), np.uint64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
 
     def sums(self, hashes, length: int, weights):
         import numpy as np
@@ -71,23 +82,20 @@ class Hasher:
             total += hashes[k : k + n] * weights[k]
         total ^= total >> np.uint64(31)
         total *= np.uint64(0x9E3779B97F4A7C15)
-        return total ^ (total >> np.uint64(29))
+        total ^= total >> np.uint64(29)
+        return total
 
 
-def chosen(small, target: int, length: int):
-    """For each target-length window the position of its sub-window with the smallest hash, the first of equals."""
+def least_in_window(x, span: int):
+    """The smallest of each `span` neighbours, by minima over doubled spans."""
     import numpy as np
 
-    span = target - length + 1
-    n = len(small) - span + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    best, at = small[:n].copy(), np.arange(n)
-    for k in range(1, span):
-        less = small[k : k + n] < best
-        best[less] = small[k : k + n][less]
-        at[less] = np.flatnonzero(less) + k
-    return at
+    have = 1
+    while have < span:
+        step = min(have, span - have)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        have += step
+    return x
 
 
 def text_words(text: bytes | None) -> list[bytes]:
@@ -98,26 +106,40 @@ def _choices(target: int, length: int):
     hasher: list[Hasher] = []
 
     def run(texts, ids):
+        """Of all texts at once: the chosen sub-windows, once for each text."""
         import numpy as np
 
         hasher or hasher.append(Hasher(target))
-        h, anchors, owners = hasher[0], [], []
+        h, words, starts, owners = hasher[0], [], [], []
         for t, i in zip(texts, ids):
-            words = text_words(t)
-            if i is None or len(words) < target:
-                continue
-            small = h.sums(h.words(words)[0], length, h.high)
-            mine = np.unique(small[np.unique(chosen(small, target, length))])
-            anchors.append(mine)
-            owners.append(np.full(len(mine), i, np.int64))
-        if not anchors:
+            mine = text_words(t)
+            if i is not None and len(mine) >= target:
+                starts.append(len(words))
+                owners.append(i)
+                words += mine
+        if not words:
             return [], []
-        return np.concatenate(anchors).view(np.int64), np.concatenate(owners)
+        starts = np.array([*starts, len(words)])
+        least = least_in_window(h.sums(np.ascontiguousarray(h.words(words)[0]), length, h.high), target - length + 1)
+        owner = np.repeat(np.arange(len(owners)), np.diff(starts))[: len(least)]
+        # windows that reach into the next text are none
+        fits = np.arange(len(least)) + target <= starts[1:][owner]
+        first = np.ones(len(least), bool)
+        first[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(fits & first)
+        anchors, owner = least[at], owner[at]
+        order = np.argsort(anchors, kind="stable")
+        anchors, owner = anchors[order], owner[order]
+        once = np.ones(len(anchors), bool)
+        once[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+        order = np.sort(order[once])  # in the order of the texts, so that doc_ids are stored in runs
+        anchors, owner = least[at][order], np.repeat(np.arange(len(owners)), np.diff(starts))[at][order]
+        return anchors.view(np.int64), np.array(owners, np.int64)[owner]
 
     return run
 
 
-def _extended(target: int, length: int):
+def _extended(target: int, length: int, parts: int):
     hasher: list[Hasher] = []
 
     def run(texts, ids, marked):
@@ -130,41 +152,51 @@ def _extended(target: int, length: int):
             if len(words) < target:  # another row of this id
                 continue
             high, low = h.words(words)
-            small = h.sums(high, length, h.high)
-            live = np.isin(small[chosen(small, target, length)], np.array(m, np.int64).view(np.uint64))
-            pair = np.stack([h.sums(high, target, h.high)[live], h.sums(low, target, h.low)[live]], axis=1)
-            pair = np.unique(pair, axis=0)
-            out[0].append(pair[:, 0])
-            out[1].append(pair[:, 1])
-            out[2].append(np.full(len(pair), i, np.int64))
+            least = least_in_window(h.sums(high, length, h.high), target - length + 1)
+            runs = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+            live = np.repeat(np.isin(least[runs], np.array(m, np.int64).view(np.uint64)), np.diff([*runs, len(least)]))
+            a, b = h.sums(high, target, h.high)[live], h.sums(low, target, h.low)[live]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            once = np.ones(len(a), bool)
+            once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            out[0].append(a[once])
+            out[1].append(b[once])
+            out[2].append(np.full(int(once.sum()), i, np.int64))
         if not out[0]:
-            return [], [], []
-        return np.concatenate(out[0]).view(np.int64), np.concatenate(out[1]).view(np.int64), np.concatenate(out[2])
+            return [], [], [], []
+        a, b, ids = (np.concatenate(x) for x in out)
+        return a.view(np.int64), b.view(np.int64), ids, (a >> np.uint64(40)) % np.uint64(parts)
 
     return run
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target: int = TARGET) -> DataFrame:
-    """(doc_id, windows): for each document with any, the hashes of its target-length windows that a smaller one has.
-
-    A window is 16 bytes (two longs); windows is their concatenation.
+    """(doc_id, windows): for each document with any, the hashes (16 bytes) of its target-length windows that a smaller one has.
     """
     length = levels(target)[-2] if target > 1 else 1
     named = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     choices = emit(named, ["text", "doc_id"], _choices(target, length), "anchor long, doc_id long")
     choices = materialise(choices, "choices")
     twice = choices.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")  # a row a document, as a rule
-    marked = choices.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    marked = choices.join(twice.hint("shuffle_hash"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     marked = materialise(marked, "marked")
     discard(choices)
     live = named.join(marked.hint("shuffle_hash"), "doc_id")
-    windows = materialise(emit(live, ["text", "doc_id", "anchors"], _extended(target, length), "high long, low long, doc_id long"), "windows")
-    least = windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("high", "low", "least")
-    later = windows.join(least, ["high", "low"]).filter("least < doc_id")
+    windows = materialise(emit(live, ["text", "doc_id", "anchors"], _extended(target, length, PARTS), "high long, low long, doc_id long, part int"), "windows", by="part")
+    discard(marked)
     wide = F.concat(F.unhex(F.lpad(F.hex("high"), 16, "0")), F.unhex(F.lpad(F.hex("low"), 16, "0")))
-    found = materialise(later.groupBy("doc_id").agg(F.collect_list(wide).alias("windows")), "repeats")
-    discard(windows, marked)
-    return found
+    parts = []
+    for k in range(PARTS):  # by ranges of the hash, so that the shuffles of one range at a time are on disk
+        some = windows.filter(F.col("part") == k).drop("part")
+        least = some.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("high", "low", "least")
+        later = some.join(least.hint("shuffle_hash"), ["high", "low"]).filter("least < doc_id")
+        parts.append(materialise(later.groupBy("doc_id").agg(F.collect_list(wide).alias("windows")), f"repeats-{k}"))
+    discard(windows)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionAll(p)
+    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
 
 
 def _cut(target: int):
@@ -176,19 +208,28 @@ def _cut(target: int):
         hasher or hasher.append(Hasher(target))
         h, out = hasher[0], ([], [], [], [])
         for t, found in zip(texts, windows):
-            words = text_words(t)
-            keep = np.ones(len(words), bool)
+            words = left = text_words(t)
             if found and len(words) >= target:
                 high, low = h.words(words)
-                table = np.unique(np.frombuffer(b"".join(found), ">u8").astype(np.uint64).reshape(-1, 2), axis=0)
-                # all windows of a document with one high half are told apart by the low one
+                table = np.frombuffer(b"".join(found), ">u8").astype(np.uint64).reshape(-1, 2)
+                table = table[np.lexsort((table[:, 1], table[:, 0]))]
                 a, b = h.sums(high, target, h.high), h.sums(low, target, h.low)
-                at = np.flatnonzero(np.isin(a, table[:, 0]) & np.isin(b, table[:, 1]))
-                known = {x.tobytes() for x in table}
-                for i in at.tolist():
-                    if np.array([a[i], b[i]], np.uint64).tobytes() in known:
-                        keep[i : i + target] = False
-            left = [w for w, k in zip(words, keep.tolist()) if k] if not keep.all() else words
+                at = np.searchsorted(table[:, 0], a, side="left")
+                hit = np.zeros(len(a), bool)
+                while True:  # as a rule once: entries of one high half stand side by side
+                    inside = at < len(table)
+                    inside[inside] = table[at[inside], 0] == a[inside]
+                    if not inside.any():
+                        break
+                    hit[inside] |= table[at[inside], 1] == b[inside]
+                    at[inside] += 1
+                    at[~inside] = len(table)
+                change = np.zeros(len(words) + 1, np.int64)
+                starts = np.flatnonzero(hit)
+                np.add.at(change, starts, 1)
+                np.add.at(change, starts + target, -1)
+                keep = change.cumsum()[:-1] == 0
+                left = [w for w, k in zip(words, keep.tolist()) if k]
             kept = b" ".join(left)
             out[0].append(len(words))
             out[1].append(len(words) - len(left))
