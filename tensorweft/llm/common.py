@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts are handed to Python functions in slices of at most this many bytes (or one row).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A side of a join is broadcast only if it was written and measured at no more than this.
 BROADCAST_BYTES = 32 << 20
 

@@ -7,7 +7,7 @@ extended to the next:
 * The first level keeps, of every run of target-length windows, the sub-window with the smallest hash. Two equal windows
   of the target length choose the same sub-window, so a window whose choice has no second occurrence can't be repeated;
   a quarter of the positions stands for all.
-* At the target level only windows with a repeated choice are hashed (128 bits) and met with the smallest doc_id that
+* At the target level only windows with a repeated choice are hashed (in two 64-bit halves) and met with the smallest doc_id that
   has them; a window with a smaller document than its own is a repeat.
 * Past the target a window is its two repeated halves.
 
@@ -39,51 +39,107 @@ def levels(target: int, start: int | None = None) -> list[int]:
     return out
 
 
-class Hashes(dict):
-    """Word to the 16 bytes of its 128-bit hash as two native longs."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        import struct
-
-        import xxhash
-
-        x = xxhash.xxh3_128_intdigest(word)
-        self[word] = out = struct.pack("=QQ", x >> 64, x & 0xFFFFFFFFFFFFFFFF)
-        return out
+#: Space and the control characters 9 to 13 part words.
+WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 class Hasher:
-    """Windows of words as linear sums of the words' 128-bit hashes, in two 64-bit halves, over an array of texts."""
+    """Hashes of any run of words of many texts from running sums over their bytes.
 
-    def __init__(self, longest: int):
+    The texts' bytes, white space made one space a word, are looked up in a table of random longs, weighted by powers of
+    an odd number and summed up; the sum between two places, shifted to its start, is the run's hash. Two tables and
+    numbers give two 64-bit halves.
+    """
+
+    def __init__(self):
         import numpy as np
 
         rng = np.random.default_rng(20)
-        self.high = (rng.integers(1, 1 << 62, longest, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.low = (rng.integers(1, 1 << 62, longest, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.seen = Hashes()
+        self.white = np.zeros(256, bool)
+        self.white[list(WHITE)] = True
+        self.tables = [rng.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in range(2)]
+        self.bases = [int(x) * 8 + 3 for x in rng.integers(1, 1 << 60, 2)]
+        self.powers: list = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
 
-    def words(self, words: Sequence[bytes]):
+    def powers_to(self, half: int, n: int):
         import numpy as np
 
-        if len(self.seen) > 500_000:
-            self.seen.clear()
-        pairs = np.frombuffer(b"".join(map(self.seen.__getitem__, words)), np.uint64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+        up, down = self.powers[half]
+        if len(up) < n:
+            base = self.bases[half] % (1 << 64)
+            size = max(n, (1 << 20) + 64)
+            grown = []
+            for x in (base, pow(base, -1, 1 << 64)):
+                steps = np.full(size, x, np.uint64)
+                steps[0] = 1
+                grown.append(np.multiply.accumulate(steps))
+            up, down = self.powers[half] = tuple(grown)
+        return up, down
+
+
+class Texts:
+    """Texts as one array of words: bytes with a space behind each word, the words' starts and ends, and their texts'."""
 
-    def sums(self, hashes, length: int, weights):
+    def __init__(self, hasher: Hasher, texts: Sequence[bytes | None]):
         import numpy as np
 
-        n = len(hashes) - length + 1
+        self.hasher = hasher
+        whole = np.frombuffer(b"\n".join([*(t or b"" for t in texts), b""]), np.uint8)
+        white = hasher.white[whole]
+        keep = ~white
+        keep[1:] |= ~white[:-1]
+        self.bytes = whole[keep]
+        gaps = white[keep]
+        self.bytes[gaps] = 0x20
+        self.ends = np.flatnonzero(gaps)
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1])[: len(self.ends)]
+        limits = np.cumsum([len(t or b"") + 1 for t in texts]) - 1
+        before = np.cumsum(keep)[limits] if len(limits) else np.zeros(0, np.int64)
+        #: first[i]: the number of words before text i; the last: of all.
+        self.first = np.concatenate([[0], np.searchsorted(self.ends, before, side="left")])
+        self.counts = np.diff(self.first)
+        self.sums: list = [None, None]
+
+    def hashes(self, length: int, half: int = 0):
+        """Of every run of `length` words, also those that cross from a text to the next (see inside)."""
+        import numpy as np
+
+        up, down = self.hasher.powers_to(half, len(self.bytes) + 1)
+        if self.sums[half] is None:
+            sums = np.zeros(len(self.bytes) + 1, np.uint64)
+            np.cumsum(self.hasher.tables[half][self.bytes] * up[: len(self.bytes)], out=sums[1:])
+            self.sums[half] = sums
+        n = len(self.ends) - length + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        total = hashes[:n] * weights[0]
-        for k in range(1, length):
-            total += hashes[k : k + n] * weights[k]
-        total ^= total >> np.uint64(31)
-        total *= np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(29)
-        return total
+        sums, starts = self.sums[half], self.starts[:n]
+        out = (sums[self.ends[length - 1 :]] - sums[starts]) * down[starts]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        return out
+
+    def owners(self, n: int):
+        """The text of each of the first n words."""
+        import numpy as np
+
+        return np.repeat(np.arange(len(self.counts)), self.counts)[:n]
+
+    def inside(self, length: int, owners):
+        """Whether the run of `length` words from each word on ends in the word's text."""
+        import numpy as np
+
+        return np.arange(len(owners)) + length <= self.first[1:][owners]
+
+
+#: Factors that keep equal hashes of different texts of a slice apart.
+APART = (0xD1B54A32D192ED03, 0xABC98388FB8FAC03)
+
+
+def apart(hashes, owners, half: int = 0):
+    import numpy as np
+
+    return hashes + owners.astype(np.uint64) * np.uint64(APART[half])
 
 
 def least_in_window(x, span: int):
@@ -102,39 +158,33 @@ def text_words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
+def changes(*columns):
+    """Where a row of sorted or running columns differs from the one before."""
+    import numpy as np
+
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
 def _choices(target: int, length: int):
     hasher: list[Hasher] = []
 
     def run(texts, ids):
-        """Of all texts at once: the chosen sub-windows, once for each text."""
+        """The chosen sub-windows, once for each text."""
         import numpy as np
 
-        hasher or hasher.append(Hasher(target))
-        h, words, starts, owners = hasher[0], [], [], []
-        for t, i in zip(texts, ids):
-            mine = text_words(t)
-            if i is not None and len(mine) >= target:
-                starts.append(len(words))
-                owners.append(i)
-                words += mine
-        if not words:
-            return [], []
-        starts = np.array([*starts, len(words)])
-        least = least_in_window(h.sums(np.ascontiguousarray(h.words(words)[0]), length, h.high), target - length + 1)
-        owner = np.repeat(np.arange(len(owners)), np.diff(starts))[: len(least)]
-        # windows that reach into the next text are none
-        fits = np.arange(len(least)) + target <= starts[1:][owner]
-        first = np.ones(len(least), bool)
-        first[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(fits & first)
-        anchors, owner = least[at], owner[at]
-        order = np.argsort(anchors, kind="stable")
-        anchors, owner = anchors[order], owner[order]
-        once = np.ones(len(anchors), bool)
-        once[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
-        order = np.sort(order[once])  # in the order of the texts, so that doc_ids are stored in runs
-        anchors, owner = least[at][order], np.repeat(np.arange(len(owners)), np.diff(starts))[at][order]
-        return anchors.view(np.int64), np.array(owners, np.int64)[owner]
+        hasher or hasher.append(Hasher())
+        t = Texts(hasher[0], texts)
+        least = least_in_window(t.hashes(length), target - length + 1)
+        owners = t.owners(len(least))
+        at = np.flatnonzero(t.inside(target, owners) & changes(least, owners))
+        order = np.argsort(least[at], kind="stable")
+        order = np.sort(order[changes(least[at][order], owners[at][order])])  # in the texts' order: ids are stored in runs
+        at = at[order]
+        return least[at].view(np.int64), np.array(ids, np.int64)[owners[at]]
 
     return run
 
@@ -143,30 +193,22 @@ def _extended(target: int, length: int, parts: int):
     hasher: list[Hasher] = []
 
     def run(texts, ids, marked):
+        """The target-length windows whose choice is marked, once for each text."""
         import numpy as np
 
-        hasher or hasher.append(Hasher(target))
-        h, out = hasher[0], ([], [], [])
-        for t, i, m in zip(texts, ids, marked):
-            words = text_words(t)
-            if len(words) < target:  # another row of this id
-                continue
-            high, low = h.words(words)
-            least = least_in_window(h.sums(high, length, h.high), target - length + 1)
-            runs = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            live = np.repeat(np.isin(least[runs], np.array(m, np.int64).view(np.uint64)), np.diff([*runs, len(least)]))
-            a, b = h.sums(high, target, h.high)[live], h.sums(low, target, h.low)[live]
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            once = np.ones(len(a), bool)
-            once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            out[0].append(a[once])
-            out[1].append(b[once])
-            out[2].append(np.full(int(once.sum()), i, np.int64))
-        if not out[0]:
-            return [], [], [], []
-        a, b, ids = (np.concatenate(x) for x in out)
-        return a.view(np.int64), b.view(np.int64), ids, (a >> np.uint64(40)) % np.uint64(parts)
+        hasher or hasher.append(Hasher())
+        t = Texts(hasher[0], texts)
+        least = least_in_window(t.hashes(length), target - length + 1)
+        owners = t.owners(len(least))
+        wanted = apart(np.concatenate([np.asarray(m, np.int64) for m in marked] or [np.empty(0, np.int64)]).view(np.uint64), np.repeat(np.arange(len(marked)), [len(m) for m in marked]))
+        runs = np.flatnonzero(changes(least, owners))
+        live = np.repeat(np.isin(apart(least[runs], owners[runs]), wanted), np.diff(np.append(runs, len(least))))
+        at = np.flatnonzero(live & t.inside(target, owners))
+        a, b = t.hashes(target)[at], t.hashes(target, 1)[at]
+        order = np.argsort(a, kind="stable")
+        order = np.sort(order[changes(a[order], b[order], owners[at][order])])
+        a, b = a[order], b[order]
+        return a.view(np.int64), b.view(np.int64), np.array(ids, np.int64)[owners[at][order]], (a >> np.uint64(40)) % np.uint64(parts)
 
     return run
 
@@ -199,43 +241,43 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target:
     return found.groupBy("doc_id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
 
 
-def _cut(target: int):
+def _cut(target: int, texts_too: bool):
     hasher: list[Hasher] = []
 
     def run(texts, windows):
         import numpy as np
 
-        hasher or hasher.append(Hasher(target))
-        h, out = hasher[0], ([], [], [], [])
-        for t, found in zip(texts, windows):
-            words = left = text_words(t)
-            if found and len(words) >= target:
-                high, low = h.words(words)
-                table = np.frombuffer(b"".join(found), ">u8").astype(np.uint64).reshape(-1, 2)
-                table = table[np.lexsort((table[:, 1], table[:, 0]))]
-                a, b = h.sums(high, target, h.high), h.sums(low, target, h.low)
-                at = np.searchsorted(table[:, 0], a, side="left")
-                hit = np.zeros(len(a), bool)
-                while True:  # as a rule once: entries of one high half stand side by side
-                    inside = at < len(table)
-                    inside[inside] = table[at[inside], 0] == a[inside]
-                    if not inside.any():
-                        break
-                    hit[inside] |= table[at[inside], 1] == b[inside]
-                    at[inside] += 1
-                    at[~inside] = len(table)
-                change = np.zeros(len(words) + 1, np.int64)
-                starts = np.flatnonzero(hit)
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + target, -1)
-                keep = change.cumsum()[:-1] == 0
-                left = [w for w, k in zip(words, keep.tolist()) if k]
-            kept = b" ".join(left)
-            out[0].append(len(words))
-            out[1].append(len(words) - len(left))
-            out[2].append(hashlib.sha256(kept).hexdigest())
-            out[3].append(kept.decode("utf-8", "replace"))
-        return out
+        hasher or hasher.append(Hasher())
+        t = Texts(hasher[0], texts)
+        keep = np.ones(len(t.ends), bool)
+        if any(windows):
+            pairs = np.frombuffer(b"".join(x for w in windows if w for x in w), ">u8").astype(np.uint64).reshape(-1, 2)
+            whose = np.repeat(np.arange(len(windows)), [len(w or ()) for w in windows])
+            high, low = apart(pairs[:, 0], whose), apart(pairs[:, 1], whose, 1)
+            order = np.argsort(high, kind="stable")
+            high, low = high[order], low[order]
+            a, b = t.hashes(target), t.hashes(target, 1)
+            owners = t.owners(len(a))
+            a, b, hit = apart(a, owners), apart(b, owners, 1), np.zeros(len(a), bool)
+            place = np.searchsorted(high, a, side="left")
+            left = np.flatnonzero(t.inside(target, owners))
+            while len(left):  # entries with one high half stand side by side; as a rule there is one
+                left = left[place[left] < len(high)]
+                left = left[high[place[left]] == a[left]]
+                hit[left] |= low[place[left]] == b[left]
+                place[left] += 1
+            change = np.zeros(len(keep) + 1, np.int64)
+            starts = np.flatnonzero(hit)
+            change[starts] += 1
+            change[starts + target] -= 1
+            keep = change.cumsum()[:-1] == 0
+        sizes = t.ends - t.starts + 1
+        kept = t.bytes[np.repeat(keep, sizes)].tobytes()
+        total = np.concatenate([[0], np.cumsum(np.where(keep, sizes, 0))])[t.first].tolist()
+        gone = np.concatenate([[0], np.cumsum(~keep)])[t.first]
+        lines = [kept[x : max(x, y - 1)] for x, y in zip(total, total[1:])]
+        out = t.counts, np.diff(gone), [hashlib.sha256(x).hexdigest() for x in lines]
+        return (*out, [x.decode("utf-8", "replace") for x in lines]) if texts_too else out
 
     return run
 
@@ -245,11 +287,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = repeats(docs, doc_id, text, target)
     named = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     both = named.join(found.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_id"), "left")
-    made = _cut(target)
-    ddl = "n_words long, n_removed long, kept_sha256 string"
-    if texts:
-        return annotate(both, ["text", "windows"], made, ddl + ", kept_text string", ["doc_id"])
-    return annotate(both, ["text", "windows"], lambda t, w: made(t, w)[:3], ddl, ["doc_id"])
+    ddl = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+    return annotate(both, ["text", "windows"], _cut(target, texts), ddl, ["doc_id"])
 
 
 def doubled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target: int = TARGET) -> DataFrame:
@@ -263,20 +302,13 @@ def doubled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target:
     def places(texts, ids):
         import numpy as np
 
-        hasher or hasher.append(Hasher(target))
-        h, out = hasher[0], ([], [], [], [])
-        for t, i in zip(texts, ids):
-            words = text_words(t)
-            if len(words) < target:
-                continue
-            high, low = h.words(words)
-            a, b = h.sums(high, target, h.high), h.sums(low, target, h.low)
-            for x, y in zip(out, (a, b, np.full(len(a), i, np.int64), np.arange(len(a)))):
-                x.append(y)
-        if not out[0]:
-            return [], [], [], []
-        a, b, c, d = (np.concatenate(x) for x in out)
-        return a.view(np.int64), b.view(np.int64), c, d
+        hasher or hasher.append(Hasher())
+        t = Texts(hasher[0], texts)
+        a = t.hashes(target)
+        owners = t.owners(len(a))
+        at = np.flatnonzero(t.inside(target, owners))
+        owners = owners[at]
+        return a[at].view(np.int64), t.hashes(target, 1)[at].view(np.int64), np.array(ids, np.int64)[owners], at - t.first[owners]
 
     now = emit(named, ["text", "doc_id"], places, "high long, low long, doc_id long, pos long")
     length, result = target, []
