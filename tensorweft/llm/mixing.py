@@ -27,7 +27,7 @@ from tensorweft.llm.common import materialise, maybe_broadcast, quoted
 WEIGHTS = (5, 2, 1)
 PERCENT = 150
 MOST = 2
-BLOCK = 16
+BLOCK = 4
 SHARD = 4096
 SEED = "mix-1"
 WORDS = r"[^\x20\x09-\x0D]+"
