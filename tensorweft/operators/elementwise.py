@@ -91,7 +91,7 @@ def _coordinates(at: Column, extents: Sequence[int]) -> list[Column]:
     out = []
     for n in extents:
         out.append(F.pmod(at, F.lit(n)).cast("bigint"))
-        at = ((at - F.pmod(at, F.lit(n))) / n).cast("bigint") if n > 1 else at
+        at = F.call_function("div", at, F.lit(n).cast("bigint"))
     return out
 
 

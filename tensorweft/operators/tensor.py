@@ -41,6 +41,8 @@ class Tensor:
             raise TensorError(f"no such kind: {self.kind}")
         if len(self.dims) != len(self.extents) or len(set(self.dims)) != len(self.dims):
             raise TensorError("dimensions need a name and an extent each, and different names")
+        if {"v", "re", "im"} & {d.lower() for d in self.dims}:
+            raise TensorError("v, re and im are the values' columns, not names of dimensions")
 
     # -- metadata
 
@@ -134,7 +136,7 @@ class Tensor:
         coordinates, rest = {}, F.col(position).cast("bigint")
         for d, n in zip(dims, extents, strict=True):
             coordinates[d] = F.pmod(rest, F.lit(n))
-            rest = F.floor((rest - F.pmod(rest, F.lit(n))) / n).cast("bigint")
+            rest = F.call_function("div", rest, F.lit(n).cast("bigint"))
         return Tensor.from_table(df, coordinates, value, extents, kind, name)
 
     @staticmethod
@@ -193,12 +195,11 @@ def literal(value: complex | float, kind: str) -> list[Column]:
 
 def grid(spark: SparkSession, dims: Sequence[str], extents: Sequence[int], name: str = "n") -> DataFrame:
     """All coordinates, made from one range of the volume: spread over the executors, without joins."""
-    total = prod(extents)
     rest, out = F.col(name), []
     for d, n in zip(dims, extents, strict=True):
         out.append(F.pmod(rest, F.lit(n)).cast("bigint").alias(d))
-        rest = F.floor(rest / n).cast("bigint") if total < 1 << 52 else F.expr(f"({rest._jc.toString()}) div {n}")
-    return spark.range(total).toDF(name).select(*out)
+        rest = F.call_function("div", rest, F.lit(n).cast("bigint"))
+    return spark.range(prod(extents)).toDF(name).select(*out)
 
 
 def full(spark: SparkSession, dims: Sequence[str], extents: Sequence[int], value: complex | float, kind: str = "R8", name: str = "T") -> Tensor:

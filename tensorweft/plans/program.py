@@ -225,7 +225,7 @@ class Program:
                 ranges.append(Range("", int(part), int(part)))
             else:
                 label = part.rstrip("+")
-                labels.append(label)
+                labels.append("l_" + label)  # any label may be a column's name so
                 ranges.append(f.labels.get(label))
         return Ref(m[1], tuple(labels), tuple(ranges), bool(m[2]))
 
@@ -294,7 +294,7 @@ class Program:
 
     def _restricted(self, t: Tensor, labels: tuple[str, ...], ranges: tuple[Range, ...], conditions: str) -> Tensor:
         t = t.relabel(labels)
-        value = {x: c(x) + r.lo for x, r in zip(labels, ranges)}
+        value = {x.removeprefix("l_"): c(x) + r.lo for x, r in zip(labels, ranges)}
         for inside in re.findall(r"\[([^\]]*)\]", conditions):
             if m := re.fullmatch(rf"\s*({_NAME})\s*:(.*)", inside):
                 test = self.registry.predicates[m[1]]
@@ -397,12 +397,12 @@ class Program:
         extents = dict(zip(source.labels, (r.extent for r in ranges)))
         if len(new) == 1 and len(gone) > 1:
             t = E.fold(t, gone, new[0])
-            r = f.labels.get(new[0]) or Range("", 0, t.extents[t.dims.index(new[0])] - 1)
+            r = f.labels.get(new[0].removeprefix("l_")) or Range("", 0, t.extents[t.dims.index(new[0])] - 1)
             if r.extent != t.extents[t.dims.index(new[0])]:
                 raise ProgramError(f"{new[0]} has extent {r.extent}")
             made = {**dict(zip(source.labels, ranges)), new[0]: r}
         elif len(gone) == 1 and len(new) > 1:
-            made = {**dict(zip(source.labels, ranges)), **{x: f.labels[x] for x in new}}
+            made = {**dict(zip(source.labels, ranges)), **{x: f.labels[x.removeprefix("l_")] for x in new}}
             t = E.unfold(t, gone[0], new, [made[x].extent for x in new])
         else:
             raise ProgramError(f"labels of {dest.name} and {source.name} don't fit: {extents}")
@@ -457,7 +457,7 @@ class Program:
         if len(ref.labels) != len(held.ranges):
             raise ProgramError(f"{tag} has {len(held.ranges)} dimensions")
         for label, r in zip(ref.labels, held.ranges):
-            f.labels.setdefault(label, r)
+            f.labels.setdefault(label.removeprefix("l_"), r)
         f.tensors[ref.name] = Held(held.tensor, held.ranges, writable=not rights or "w" in granted, exported=tag if not rights or "w" in granted else None)
 
     def _destroy(self, f: Frame, text: str) -> None:

@@ -190,7 +190,7 @@ def scalar_times_tensor(spark, d):
     return contract("D(i,j)+=K()*L(i,j)", n, A(spark, d)).df
 
 
-@query("SELECT 3.0 * count(*) + 1.0 AS v FROM orders")
+@query("SELECT CAST(3 * count(*) + 1 AS DOUBLE) AS v FROM orders")
 def scalar_times_scalar(spark, d):
     n = Tensor.from_table(read_table(spark, d, "orders"), {}, 1.0)
     return contract("D()+=K()*L()", n, Tensor.scalar(spark, 3.0), Tensor.scalar(spark, 1.0)).df
@@ -267,7 +267,7 @@ def complex_to_real(spark, d):
     return E.to_real(scaled).df
 
 
-@query(WITH + "SELECT i, j, CAST(CAST(v AS FLOAT) AS DOUBLE) AS re, 0.0 AS im FROM A")
+@query(WITH + "SELECT i, j, CAST(CAST(v AS FLOAT) AS DOUBLE) AS re, CAST(0 AS DOUBLE) AS im FROM A")
 def kind_cast(spark, d):
     return E.cast(E.cast(A(spark, d), "R4"), "C8").df
 
@@ -282,7 +282,7 @@ def real_part(spark, d):
     return E.real(Z(spark, d)).df
 
 
-@query("SELECT x AS i, y AS j, 27.38 AS v FROM range(12) t(x), range(8) u(y)")
+@query("SELECT x AS i, y AS j, CAST(27.38 AS DOUBLE) AS v FROM range(12) t(x), range(8) u(y)")
 def initialise_value(spark, d):
     return E.initialise(Tensor.zeros(spark, ("i", "j"), (12, 8)), 27.38).df
 
@@ -407,7 +407,7 @@ def svd_absorbed(spark, d):
     return contract("D(i,j)+=L(i,m)*R(m,j)", left, right).df.select("i", "j", F.round("v", 3).alias("v"))
 
 
-@query("SELECT x, y, CASE WHEN x = y THEN 1.0 ELSE 0.0 END AS v FROM range(8) t(x), range(8) u(y)")
+@query("SELECT x, y, CAST(CASE WHEN x = y THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(8) t(x), range(8) u(y)")
 def orthogonalisation(spark, d):
     """Products of the columns of the orthogonal tensor next to A: the unit matrix."""
     u = linalg.orthogonalise("D(i,j)=L(i,m)*R(m,j)", A(spark, d))
@@ -537,7 +537,7 @@ def point_clusters(spark, d):
 # ------------------------------------------------------------------ plans and programs
 
 
-@query("SELECT * FROM (VALUES ('contraction', 1152.0, 1728.0), ('hyper', 1440.0, 3072.0)) t(name, flops, bytes)")
+@query("SELECT name, CAST(f AS DOUBLE) AS flops, CAST(b AS DOUBLE) AS bytes FROM (VALUES ('contraction', 1152, 1728), ('hyper', 1440, 3072)) t(name, f, b)")
 def cost_model(spark, d):
     sizes = {"i": 12, "j": 8, "k": 6}
     other = {"k": 4, "a": 5, "i": 6, "j": 6}
@@ -575,7 +575,7 @@ end scope last
 """
 
 
-@query("SELECT sum(v * v) AS v FROM (SELECT b + 1 AS n, (b + 1) * 3.0 * (64 * p + 28) AS v FROM range(4) t(b), range(4, 12) u(p))")
+@query("SELECT sum(v * v) AS v FROM (SELECT b + 1 AS n, CAST((b + 1) * 3 * (64 * p + 28) AS DOUBLE) AS v FROM range(4) t(b), range(4, 12) u(p))")
 def tensor_program(spark, d):
     registry = Registry()
     # coordinates count from the start of the range
