@@ -101,7 +101,9 @@ def quoted(name: str) -> Column:
 
 
 def annotate(df: DataFrame, inputs: Sequence[str], fn: Callable[..., Sequence[Sequence]], ddl: str, keep: Sequence[str] | None = None) -> DataFrame:
-    """Append the columns of ddl, computed by fn from lists of the values of inputs (strings as UTF-8 bytes, null as None).
+    """Append the columns of ddl, computed by fn from lists of the values of inputs.
+
+    Strings come as UTF-8 bytes, arrays of longs as numpy arrays, nulls as None.
 
     fn gets a slice of rows, one list per input, and returns one list per column. keep: the columns of df that stay
     (default all); a kept column with the name of a computed one gives way to it, in either case.
@@ -157,6 +159,9 @@ def arrow_types(kinds: Sequence[T.DataType]) -> list[pa.DataType]:
 def values(column: pa.Array) -> list:
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         column = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
+    if pa.types.is_list(column.type) and pa.types.is_int64(column.type.value_type):  # as numpy arrays
+        flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+        return [flat[a:b] if there else None for a, b, there in zip(at, at[1:], column.is_valid().to_pylist())]
     return column.to_pylist()
 
 

@@ -214,7 +214,7 @@ def _extended(target: int, length: int, parts: int):
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target: int = TARGET) -> DataFrame:
-    """(doc_id, windows): for each document with any, the hashes (16 bytes) of its target-length windows that a smaller one has.
+    """(doc_id, high, low): for each document with any, the hashes of its target-length windows that a smaller one has.
     """
     length = levels(target)[-2] if target > 1 else 1
     named = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -227,33 +227,33 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target:
     live = named.join(marked.hint("shuffle_hash"), "doc_id")
     windows = materialise(emit(live, ["text", "doc_id", "anchors"], _extended(target, length, PARTS), "high long, low long, doc_id long, part int"), "windows", by="part")
     discard(marked)
-    wide = F.concat(F.unhex(F.lpad(F.hex("high"), 16, "0")), F.unhex(F.lpad(F.hex("low"), 16, "0")))
     parts = []
     for k in range(PARTS):  # by ranges of the hash, so that the shuffles of one range at a time are on disk
         some = windows.filter(F.col("part") == k).drop("part")
         least = some.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("high", "low", "least")
         later = some.join(least.hint("shuffle_hash"), ["high", "low"]).filter("least < doc_id")
-        parts.append(materialise(later.groupBy("doc_id").agg(F.collect_list(wide).alias("windows")), f"repeats-{k}"))
+        parts.append(materialise(later.groupBy("doc_id").agg(F.collect_list(F.struct("high", "low")).alias("windows")), f"repeats-{k}"))
     discard(windows)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionAll(p)
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    return found.select("doc_id", F.col("windows.high").alias("high"), F.col("windows.low").alias("low"))
 
 
 def _cut(target: int, texts_too: bool):
     hasher: list[Hasher] = []
 
-    def run(texts, windows):
+    def run(texts, highs, lows):
         import numpy as np
 
         hasher or hasher.append(Hasher())
         t = Texts(hasher[0], texts)
         keep = np.ones(len(t.ends), bool)
-        if any(windows):
-            pairs = np.frombuffer(b"".join(x for w in windows if w for x in w), ">u8").astype(np.uint64).reshape(-1, 2)
-            whose = np.repeat(np.arange(len(windows)), [len(w or ()) for w in windows])
-            high, low = apart(pairs[:, 0], whose), apart(pairs[:, 1], whose, 1)
+        sizes = [0 if h is None else len(h) for h in highs]
+        if any(sizes):
+            whose = np.repeat(np.arange(len(sizes)), sizes)
+            high, low = (apart(np.concatenate([x for x in half if x is not None]).view(np.uint64), whose, k) for k, half in enumerate((highs, lows)))
             order = np.argsort(high, kind="stable")
             high, low = high[order], low[order]
             a, b = t.hashes(target), t.hashes(target, 1)
@@ -288,7 +288,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     both = named.join(found.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_id"), "left")
     ddl = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return annotate(both, ["text", "windows"], _cut(target, texts), ddl, ["doc_id"])
+    return annotate(both, ["text", "high", "low"], _cut(target, texts), ddl, ["doc_id"])
 
 
 def doubled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target: int = TARGET) -> DataFrame:
