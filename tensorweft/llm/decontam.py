@@ -15,6 +15,7 @@ rows count once and each. A null item_id marks words but is not listed. A column
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from tensorweft.llm.common import annotate, materialise, quoted
 
 WINDOW = 10
-#: Bytes of item texts whose windows are broadcast at once.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item texts whose windows are broadcast at once: about 600,000 windows, 150 MB in a worker.
+BLOCK_BYTES = 4 << 20
 FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _WORD = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Byte to byte: A-Z lowered, word bytes kept, others a space.
@@ -42,12 +43,18 @@ class Windows:
 
     def __init__(self, items: Sequence[tuple[object, bytes | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        self.exact: dict[int, dict[tuple[int, ...], set]] = {}
+        #: Length to windows (their words' numbers as bytes) to the items that have them.
+        self.exact: dict[int, dict[bytes, tuple]] = {}
         for item, text in items:
             numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            size = min(window, len(numbers))
-            for i in range(len(numbers) - size + 1 if numbers else 0):
-                self.exact.setdefault(size, {}).setdefault(tuple(numbers[i : i + size]), set()).add(item)
+            if not numbers:
+                continue
+            size, row, own = min(window, len(numbers)), array("Q", numbers), (item,)
+            known = self.exact.setdefault(size, {})
+            for i in range(len(numbers) - size + 1):
+                before = known.setdefault(row[i : i + size].tobytes(), own)
+                if item not in before:
+                    known[row[i : i + size].tobytes()] = (*before, item)
         self.tables = None
 
     def prepare(self) -> None:
@@ -57,12 +64,12 @@ class Windows:
         self.weights = (rng.integers(1, 1 << 62, max(self.exact, default=1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
         self.tables = {}
         for size, windows in self.exact.items():
-            rows = np.array(list(windows), dtype=np.uint64).reshape(-1, size)
+            rows = np.frombuffer(b"".join(windows), np.uint64).reshape(-1, size)
             bits = np.zeros(1 << self.BITS, bool)
             bits[(rows * self.weights[:size]).sum(axis=1, dtype=np.uint64) >> np.uint64(64 - self.BITS)] = True
             self.tables[size] = bits
 
-    def find(self, numbers) -> list[tuple[int, int, set]]:
+    def find(self, numbers) -> list[tuple[int, int, tuple]]:
         """(start, length, items) of all windows in a sequence of word numbers."""
         import numpy as np
 
@@ -78,7 +85,7 @@ class Windows:
                 sums += numbers[k : k + n] * self.weights[k]
             exact = self.exact[size]
             for i in np.flatnonzero(bits[sums >> np.uint64(64 - self.BITS)]).tolist():
-                if (items := exact.get(tuple(numbers[i : i + size].tolist()))) is not None:
+                if (items := exact.get(numbers[i : i + size].tobytes())) is not None:
                     found.append((i, size, items))
         return found
 
@@ -95,14 +102,14 @@ def scan(texts: Sequence[bytes | None], windows: Windows) -> list[tuple[int, byt
         numbers.extend([number(w, 0) for w in words])
         numbers.append(0)  # no window crosses from a text to the next
         out.append((len(words), bytearray(len(words)), set()))
-    array = np.array(numbers, dtype=np.uint64)
+    whole = np.array(numbers, dtype=np.uint64)
     starts = np.array(starts, dtype=np.int64)
-    for i, size, items in windows.find(array):
+    for i, size, items in windows.find(whole):
         at = int(np.searchsorted(starts, i, side="right")) - 1
         _, marks, names = out[at]
         i -= int(starts[at])
         marks[i : i + size] = b"\x01" * size
-        names |= items
+        names.update(items)
     return out
 
 
