@@ -106,8 +106,12 @@ class Tensor:
         return full(spark, (), (), value, kind, name)
 
     @staticmethod
-    def from_table(df: DataFrame, coordinates: dict[str, Column | str], value: Column | str | tuple = 1.0, extents: Sequence[int | None] | None = None, kind: str = "R8", name: str = "T") -> Tensor:
-        """Coordinates and values from columns; rows of one coordinate are summed, and rows with a null are dropped."""
+    def from_table(df: DataFrame, coordinates: dict[str, Column | str], value: Column | str | tuple = 1.0, extents: Sequence[int | None] | None = None, kind: str = "R8", name: str = "T", sums: bool = True) -> Tensor:
+        """Coordinates and values from columns; rows of one coordinate are summed, and rows with a null are dropped.
+
+        sums=False leaves the rows as they are, which saves a shuffle: for coordinates that don't repeat, or for inputs of
+        contractions that sum (these are linear, so repeated rows add up there) whose rows repeat little.
+        """
         col = lambda x: F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
         values = value if isinstance(value, tuple) else (value,)
         names = ("re", "im") if kind[0] == "C" else ("v",)
@@ -116,6 +120,9 @@ class Tensor:
         picked = df.select(*[col(x).cast("bigint").alias(d) for d, x in coordinates.items()], *[col(x).cast("double").alias(n) for n, x in zip(names, values, strict=True)])
         picked = picked.dropna()
         dims = tuple(coordinates)
+        if dims and not sums:
+            out = picked.select(*map(c, dims), *[F.col(n).cast(VALUE[kind]).alias(n) for n in names])
+            return Tensor(out, dims, tuple(extents) if extents is not None else (None,) * len(dims), kind, name)
         summed = picked.groupBy(*map(c, dims)).agg(*[F.sum(n).alias(n) for n in names])
         if not dims:
             summed = summed.select(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])

@@ -13,7 +13,7 @@
 
 A label stands for the range of its subspace; a tensor keeps the ranges that it was created with, and naming it with
 labels of other ranges means that slice, in reads and in writes. A label that isn't declared takes the range of the
-tensor's dimension. Literal ranges (10:34) are dimensions of the unnamed space. `=` overwrites, `+=` adds, `*=` scales;
+tensor's dimension. Literal ranges (10:34) are dimensions of the unnamed space. `=` overwrites, `+=` and `-=` add, `*=` and `/=` scale;
 `=>` defers a method to the first use, or makes the name a placeholder of a network that uses expand. Conditions behind
 a last colon keep the elements that meet them: [i<j<k], [a>=b], [predicate:a,b]. Scopes see their own tensors only;
 export and import pass them on, to the groups named and with the rights given.
@@ -87,6 +87,21 @@ class Frame:
     tensors: dict[str, Held] = field(default_factory=dict)
 
 
+_KINDS = (
+    ("create", rf"CREATE_ARRAY\s+{_TENSOR.pattern}|{_TENSOR.pattern}\s*=\s*\?"),
+    ("delete", rf"DELETE_ARRAY\s+.+|(?:destroy\s+|~).+"),
+    ("scaling", rf"{_TENSOR.pattern}\s*[*/]=\s*[^()]+"),
+    ("contraction", rf"{_TENSOR.pattern}\s*[+-]?=\s*{_TENSOR.pattern}(?:\s*\*\s*{_TENSOR.pattern})+(?:\s*\*\s*[^()]+)?"),
+    ("addition", rf"{_TENSOR.pattern}\s*[+-]=\s*{_TENSOR.pattern}(?:\s*\*\s*[^()]+)?"),
+    ("assignment", rf"{_TENSOR.pattern}\s*=\s*.+"),
+)
+
+
+def recognise(statement: str) -> str | None:
+    """What a statement is: create, delete, scaling, contraction, addition or assignment; None for others."""
+    return next((kind for kind, text in _KINDS if re.fullmatch(text, statement.strip())), None)
+
+
 class Program:
     """Interprets a text; tensors of the entry scope stay to be looked at in `tensors` after run()."""
 
@@ -309,7 +324,7 @@ class Program:
     # ------------------------------------------------------------ operations
 
     def _operation(self, f: Frame, line: str) -> None:
-        m = re.match(r"\s*([^=+*/~>]+?\+?\([^()]*\))\s*(\+=|\*=|=>|=)\s*(.*)\Z", line)
+        m = re.match(r"\s*([^=+*/~>-]+?\+?\([^()]*\))\s*(\+=|-=|\*=|/=|=>|=)\s*(.*)\Z", line)
         if not m:
             raise ProgramError(f"no statement: {line}")
         dest, op, right = self._ref(f, m[1]), m[2], m[3]
@@ -333,6 +348,8 @@ class Program:
         if not found:
             number = self._number(right)
             ranges = self._full_ranges(f, dest)
+            if op == "/=":
+                op, number = "*=", 1 / number
             if op == "*=":
                 self._write(f, dest, ranges, lambda old: E.scale(old, number))
             elif op == "=":
@@ -351,8 +368,10 @@ class Program:
             ranges = self._full_ranges(f, dest, self._ranges_of(f, inputs))
             f.tensors[dest.name] = Held(None, ranges, network=(dest, inputs, factor))
             return
-        if op == "*=":
-            raise ProgramError("*= takes a number")
+        if op in ("*=", "/="):
+            raise ProgramError(f"{op} takes a number")
+        if op == "-=":
+            factor = -factor
         known = self._ranges_of(f, inputs)
         if len(inputs) == 1 and (set(dest.labels) != set(inputs[0].labels)) and len(set(inputs[0].labels)) == len(inputs[0].labels):
             made, ranges = self._folded(f, dest, inputs[0], known)

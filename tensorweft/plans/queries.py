@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from tensorweft.functions import scalars
 from tensorweft.functions.functors import Registry
 from tensorweft.operators import elementwise as E
-from tensorweft.operators import linalg, reduce
+from tensorweft.operators import linalg, reduce, views
 from tensorweft.operators.algebra import add, add_pattern, contract, custom, inner, matmul
 from tensorweft.operators.blocked import contract_blocked
 from tensorweft.operators.tensor import Tensor, from_function, full, random
 from tensorweft.plans import network, spaces
 from tensorweft.plans import pattern as P
 from tensorweft.plans.program import Program
+from tensorweft.plans.runtime import Runtime
 from tensorweft.sources.storage import load, read_table, save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,8 +85,8 @@ WITH = f"WITH A AS ({SQL_A}), B AS ({SQL_B}), C AS ({SQL_C}), T AS ({SQL_T3}), X
 
 @query("SELECT o_custkey AS c, l_suppkey AS s, sum(l_quantity) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 def contraction(spark, d):
-    left = Tensor.from_table(read_table(spark, d, "orders"), {"o": "o_orderkey", "c": "o_custkey"}, 1.0)
-    right = Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "s": "l_suppkey"}, "l_quantity")
+    left = Tensor.from_table(read_table(spark, d, "orders"), {"o": "o_orderkey", "c": "o_custkey"}, 1.0, sums=False)
+    right = Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "s": "l_suppkey"}, "l_quantity", sums=False)
     return contract("D(c,s)+=L(o,c)*R(o,s)", left, right).df
 
 
@@ -98,10 +99,10 @@ def contraction_network(spark, d):
     names = brands.agg(F.sort_array(F.collect_list("p_brand")).alias("names"))  # a row of as many names as there are brands
     numbered = part.crossJoin(F.broadcast(names)).select("p_partkey", (F.array_position("names", F.col("p_brand")) - 1).alias("b"))
     n = {t: read_table(spark, d, t) for t in ("customer", "orders", "lineitem")}
-    a = Tensor.from_table(n["customer"], {"c": "c_custkey", "n": "c_nationkey"}, 1.0, (None, 25))
-    o = Tensor.from_table(n["orders"], {"o": "o_orderkey", "c": "o_custkey"}, 1.0)
-    r = Tensor.from_table(n["lineitem"], {"o": "l_orderkey", "p": "l_partkey"}, "l_quantity")
-    b = Tensor.from_table(numbered, {"p": "p_partkey", "b": "b"}, 1.0, (None, 25))
+    a = Tensor.from_table(n["customer"], {"c": "c_custkey", "n": "c_nationkey"}, 1.0, (None, 25), sums=False)
+    o = Tensor.from_table(n["orders"], {"o": "o_orderkey", "c": "o_custkey"}, 1.0, sums=False)
+    r = Tensor.from_table(n["lineitem"], {"o": "l_orderkey", "p": "l_partkey"}, "l_quantity", sums=False)
+    b = Tensor.from_table(numbered, {"p": "p_partkey", "b": "b"}, 1.0, (None, 25), sums=False)
     return network.contract_network("N(n,b)+=A(c,n)*O(o,c)*R(o,p)*B(p,b)", a, o, r, b).df
 
 
@@ -327,6 +328,38 @@ def index_restriction(spark, d):
     return E.ordered(CUBE(spark, d), (("a", "c"), "<"), (("a", "b"), ">=")).df
 
 
+@query(WITH + "SELECT i, j, v FROM A UNION ALL SELECT i + 12, j, v FROM C")
+def direct_sum(spark, d):
+    """A and C side by side."""
+    a = A(spark, d)
+    return views.direct_sum(Tensor(a.df, a.dims, (24, 8)), ((12, 0), C(spark, d))).df
+
+
+@query(WITH + "SELECT i, k, sum(A.v * B.v) AS v FROM A JOIN B USING (j) GROUP BY ALL")
+def contraction_in_parts(spark, d):
+    return views.contract_in_parts("D(i,k)+=L(i,j)*R(j,k)", A(spark, d), B(spark, d), 24).df
+
+
+@query(WITH + "SELECT i // 4 AS b_i, A.j // 4 AS b_j, k // 4 AS b_k, n AS n_left, m AS n_right FROM (SELECT i // 4 * 4 AS i, j // 4 * 4 AS j, count(*) AS n FROM A GROUP BY ALL) A JOIN (SELECT j // 4 * 4 AS j, k // 4 * 4 AS k, count(*) AS m FROM B GROUP BY ALL) B USING (j)")
+def contraction_blocks(spark, d):
+    """Pairs of blocks that a contraction multiplies."""
+    return views.matching_blocks("D(i,k)+=L(i,j)*R(j,k)", A(spark, d), B(spark, d), 4)
+
+
+@query(WITH + "SELECT i, j, v FROM A ORDER BY abs(v) DESC, i, j LIMIT 5")
+def top_moduli(spark, d):
+    return views.top(A(spark, d), 5)
+
+
+@query(WITH + "SELECT 2.0 * 12 * 8 * 6 AS flops, 1 AS operations".replace("2.0 * 12 * 8 * 6", "CAST(1152 AS DOUBLE)").replace("1 AS operations", "CAST(1 AS BIGINT) AS operations"))
+def runtime_statistics(spark, d):
+    r = Runtime(spark)
+    r.sync(r.contract("D(i,k)+=L(i,j)*R(j,k)", A(spark, d), B(spark, d)))
+    r.wait_all()
+    found = r.statistics()
+    return spark.createDataFrame([(found["flops"], found["operations"])], "flops double, operations long")
+
+
 # ------------------------------------------------------------------ traces and reductions
 
 
@@ -588,11 +621,11 @@ def streaming_accumulation(spark, d):
     """The contraction again, with the lines as a stream."""
     from tensorweft.streaming.accumulate import Accumulator
 
-    orders = Tensor.from_table(read_table(spark, d, "orders"), {"o": "o_orderkey", "c": "o_custkey"}, 1.0)
+    orders = Tensor.from_table(read_table(spark, d, "orders"), {"o": "o_orderkey", "c": "o_custkey"}, 1.0, sums=False)
     lines = read_table(spark, d, "lineitem")
     folder = _folder(spark, "stream")
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/lineitem.parquet*")
-    adapt = lambda batch: Tensor.from_table(batch, {"o": "l_orderkey", "s": "l_suppkey"}, "l_quantity")
+    adapt = lambda batch: Tensor.from_table(batch, {"o": "l_orderkey", "s": "l_suppkey"}, "l_quantity", sums=False)
     sums = Accumulator(spark, f"{folder}/result", "D(c,s)+=L(o,s)*R(o,c)", orders, adapt)
     sums.start(stream, f"{folder}/checkpoint").awaitTermination()
     return sums.result().df

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tensorweft.functions import scalars
 from tensorweft.functions.functors import Registry
 from tensorweft.operators.tensor import Tensor, TensorError, full
+from tensorweft.operators import views
 from tensorweft.plans import spaces
-from tensorweft.plans.program import Program, ProgramError
+from tensorweft.plans.program import Program, ProgramError, recognise
+from tensorweft.plans.runtime import Runtime
 from tensorweft.sources.storage import Catalog, load, save
 from tensorweft.streaming.accumulate import Accumulator
 
@@ -24,7 +26,10 @@ def test_slices(spark):
  T(i,a) = 5.0
  S(i,b) = T(i,b)
  T(a,b) += T(a,b) * 2.0
- T(i,j) *= 0.5
+ T(i,j) *= 2.0
+ T(i,j) /= 4.0
+ T(i,a) -= S(i,a) * 0.5
+ T(i,a) += S(i,a) * 0.5
 """)
     t = np.ones((6, 6))
     t[:3, 3:] = 5
@@ -184,3 +189,63 @@ def test_scalars(spark):
     assert [tuple(r) for r in p.select(scalars.permutation_sign("p"), scalars.inverse_permutation("p")).collect()] == [(1, [1, 2, 0]), (-1, [1, 0, 2])]
     assert scalars.permutation_cycles([1, 0, 2]) == [(0, 1), (2,)] and sorted(scalars.random_permutation(5, 1)) == list(range(5))
     assert sum(scalars.random_composition(9, 4, 2)) == 9 and scalars.cluster_points([5, 1, 2, 9], 1.5) == [[1, 2], [5], [9]]
+
+
+@pytest.mark.parametrize("text, kind", [("T(a) = 1.0", "assignment"), ("T(a) *= 2", "scaling"), ("T(a)/=2", "scaling"), ("T(a)+=S(a)*2.0", "addition"), ("T(a)-=S(a)", "addition"), ("T(a,b)+=L(a,c)*R(c,b)", "contraction"), ("T(a)=?", "create"), ("CREATE_ARRAY T(a,b)", "create"), ("~T", "delete"), ("DELETE_ARRAY T", "delete"), ("index: a=b", None), ("T(a) = S(a)", "assignment")])
+def test_recognition(text, kind):
+    assert recognise(text) == kind
+
+
+def test_runtime(spark):
+    r = Runtime(spark)
+    a = full(spark, ["i", "k"], [3, 4], 2.0)
+    b = full(spark, ["k", "j"], [4, 2], 0.5)
+    for name in ("coordinates", "blocks", "auto"):
+        r.set_algorithm(name)
+        assert np.array_equal(r.contract("D(i,j)+=L(i,k)*R(k,j)", a, b).to_numpy(), np.full((3, 2), 4.0))
+    assert r.flops == 3 * 2 * 3 * 4 * 2 and r.statistics()["operations"] == 3
+    first = r.submit(lambda: 1, "first")
+    second = r.submit(lambda: first.wait() + 1, "second", after=[first])
+    bad = r.submit(lambda: 1 / 0, "bad")
+    assert second.wait(60) == 2 and isinstance(bad.future.exception(60), ZeroDivisionError)
+    assert r.status() == {"scheduled": 0, "running": 0, "completed": 2, "failed": 1}
+    assert r.sync(a, b, timeout=120)
+    r.discard(r.place(a))
+    with pytest.raises(TensorError):
+        r.set_algorithm("none")
+    assert r.create(["i"], [3]).to_numpy().sum() == 0
+    r.tasks.remove(bad)
+    r.stop(session=False)
+
+
+def test_views(spark):
+    a = np.arange(60.0).reshape(3, 4, 5)
+    t = Tensor.from_numpy(spark, a, ["x", "y", "z"])
+    parts = views.subtensors(t, 12)
+    assert sum(p.volume for p in parts) == 60 and all(p.volume <= 12 for p in parts)
+    empty = Tensor.zeros(spark, ["x", "y", "z"], (3, 4, 5))
+    assert np.array_equal(views.direct_sum(empty, *[(p.offsets, p.tensor()) for p in parts]).to_numpy(), a)
+    b = a.copy()
+    b[1:, :2, 3:] = 1
+    assert np.array_equal(views.SliceView(t, (1, 0, 3), (2, 2, 2)).write(full(spark, "pqr", (2, 2, 2), 1.0)).to_numpy(), b)
+    assert [tuple(r) for r in views.top(t, 2).collect()] == [(2, 3, 4, 59.0), (2, 3, 3, 58.0)]
+    assert views.ordered(t, "z").first()["z"] == 0 and views.strong_dimensions((3, 40, 5), threshold=4) == [1, 2]
+
+
+@pytest.mark.parametrize("text", ["D(a,b)+=L(a,c)*R(c,b)", "D(k,a,b)+=L(k,a,c)*R(k,c,b)", "E()+=L(a,b)*R(a,b)", "D(a,b)+=L(a)*R(b)"])
+def test_parts(spark, text):
+    from tensorweft.plans import pattern as P
+
+    from .test_tensors import arrays_for, einsum, tensor
+
+    p = P.parse(text)
+    left, right = arrays_for(p, 4)
+    got = views.contract_in_parts(p, tensor(spark, left), tensor(spark, right, "y"), 3)
+    assert np.allclose(got.to_numpy(), einsum(p, left, right))
+
+
+def test_matching_blocks(spark):
+    a, b = np.zeros((6, 6)), np.zeros((6, 6))
+    a[0, 5], a[5, 1], b[4, 0], b[5, 5] = 1, 1, 1, 1
+    got = views.matching_blocks("D(i,j)+=L(i,k)*R(k,j)", Tensor.from_numpy(spark, a, ["i", "k"]), Tensor.from_numpy(spark, b, ["k", "j"]), 3)
+    assert sorted((r.b_i, r.b_k, r.b_j) for r in got.collect()) == [(0, 1, 0), (0, 1, 1)]

@@ -182,6 +182,8 @@ def test_scalars_and_sources(spark):
         full(spark, ["i"], [2], 1.0).get_scalar()
     rows = spark.createDataFrame([(0, 1, 2.0), (0, 1, 3.0), (1, 0, None), (None, 0, 9.0)], "i long, j long, v double")
     assert np.array_equal(Tensor.from_table(rows, {"i": "i", "j": "j"}, "v", (2, 2)).to_numpy(), [[0, 5], [0, 0]])
+    twice = Tensor.from_table(rows, {"i": "i", "j": "j"}, "v", (2, 2), sums=False)
+    assert twice.df.count() == 2 and inner(twice, full(spark, "xy", (2, 2), 1.0)).get_scalar() == 5
     a = random(spark, ["i", "j"], (30, 30), 1).to_numpy()
     assert np.array_equal(a, random(spark, ["i", "j"], (30, 30), 1).to_numpy()) and 0.45 < a.mean() < 0.55 and 0 <= a.min() and a.max() < 1
     f = from_function(spark, ["i", "j"], (2, 3), lambda i, j: i * 10 + j)
