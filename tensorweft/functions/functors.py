@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 
 from tensorweft.operators.elementwise import transform
-from tensorweft.operators.tensor import VALUE, Tensor, TensorError, c, dense, from_function
+from tensorweft.operators.tensor import VALUE, Tensor, TensorError, c, dense, from_function, settled
 
 
 @dataclass
@@ -76,6 +76,7 @@ class Registry:
             for part in parts:
                 yield f(part)
 
+        t = settled(t)
         return t.with_df(t.df.mapInPandas(run, t.df.schema).select(*map(c, t.dims), *t.values))
 
     def traverse(self, t: Tensor, f: Callable[[Iterator], None]) -> None:

@@ -96,7 +96,7 @@ def contract(p: P.Pattern | str, left: Tensor, right: Tensor, into: Tensor | Non
     if restrict is not None:
         both = both.filter(restrict)
     product = both.select(*map(c, p.dest.labels), *_product(left, right, factor * p.factor))
-    if p.contracted():
+    if p.contracted() or left.unsummed or right.unsummed:
         product = summed([product], p.dest.labels, kind)
     else:
         names = ("re", "im") if kind[0] == "C" else ("v",)
@@ -134,7 +134,7 @@ def add_pattern(p: P.Pattern | str, t: Tensor, into: Tensor | None = None, facto
     if p.inputs[0].conj != p.dest.conj:
         t = conjugate(t)
     at = [t.dims.index(x) for x in p.dest.labels]
-    t = Tensor(t.df.select(*map(c, p.dest.labels), *t.values), p.dest.labels, tuple(t.extents[i] for i in at), t.kind, p.dest.name)
+    t = Tensor(t.df.select(*map(c, p.dest.labels), *t.values), p.dest.labels, tuple(t.extents[i] for i in at), t.kind, p.dest.name, t.unsummed)
     if into is None or p.assign == "=":
         return t if factor * p.factor == 1 else scale(t, factor * p.factor)
     return add(t, into, factor * p.factor)
@@ -177,4 +177,5 @@ def custom(f: Callable[..., Column], *tensors: Tensor, fills: bool = False) -> T
     for x in parts[1:]:
         whole = whole.unionByName(x)
     lined = whole.groupBy(*map(c, first.dims)).agg(*[F.sum(f"_{j}").alias(f"_{j}") for j in range(len(tensors))])
+    first = first.with_df(first.df, unsummed=False)
     return first.with_df(lined.select(*map(c, first.dims), f(*[F.col(f"_{j}") for j in range(len(tensors))]).cast("double").alias("v")), kind="R8")

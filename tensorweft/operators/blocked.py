@@ -2,8 +2,8 @@
 
 A coordinate table spends a row on every multiplication of a contraction; for dense tensors a block spends a row on
 size^3 of them. Blocks of both inputs meet by the block coordinates of the shared labels, their products are summed by
-the destination's block coordinates, partial sums first. A block has at most BLOCK elements a side, so a task holds
-three blocks at a time.
+the destination's block coordinates, as whole blocks within a task first. A block has about BLOCK elements a side, so
+a task holds two of them and HELD sums.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from tensorweft.plans import pattern as P
 
 #: Elements of a matrix side of a block.
 BLOCK = 256
+#: Result blocks that a task sums up before it hands them on.
+HELD = 64
 
 
 def block_size(extent: int, rank: int, block: int = BLOCK) -> int:
@@ -78,21 +80,30 @@ def contract_blocked(p: P.Pattern | str, left: Tensor, right: Tensor, block: int
         nr, nc, nk = (int(np.prod(s)) if s else 1 for s in sides)
 
         def matrix(positions, values, shape, order, n, m):
-            body = np.zeros(int(np.prod(shape)) if shape else 1)
-            body[np.asarray(positions, np.int64)] = np.asarray(values)
+            body = np.bincount(np.asarray(positions, np.int64), np.asarray(values, float), int(np.prod(shape)) if shape else 1)
             body = body.reshape(shape, order="F") if shape else body
             return body.transpose(order).reshape(n, m) if shape else body.reshape(n, m)
 
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            rows = [(*key, at.tolist(), z[at].tolist()) for key, z in held.items() for at in (np.flatnonzero(z),)]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*out_keys, "positions", "values"])
+
         for part in parts:
-            out = []
             for r in part.itertuples(index=False):
                 x = matrix(r.lp, r.lv, shapes[0], orders[0], nr, nk)
                 y = matrix(r.rp, r.rv, shapes[1], orders[1], nk, nc)
                 z = (x @ y).reshape(sides[0] + sides[1]).transpose(orders[2]) if shapes[2] else (x @ y).reshape(1)
-                z = z.reshape(-1, order="F")
-                at = np.flatnonzero(z)
-                out.append((*(getattr(r, k) for k in out_keys), at.tolist(), z[at].tolist()))
-            yield pd.DataFrame(out, columns=[*out_keys, "positions", "values"])
+                key, z = tuple(getattr(r, k) for k in out_keys), z.reshape(-1, order="F")
+                if key in held:
+                    held[key] += z
+                else:
+                    if len(held) >= HELD:
+                        yield flush()
+                    held[key] = z.copy()
+        yield flush()
 
     schema = ", ".join([f"{k} bigint" for k in out_keys] + ["positions array<bigint>", "values array<double>"])
     parts = met.select(*out_keys, "lp", "lv", "rp", "rv").mapInPandas(product, schema)

@@ -8,7 +8,7 @@ from math import prod
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tensorweft.operators.tensor import KINDS, VALUE, Tensor, TensorError, as_complex, c, dense, full, literal, summed
+from tensorweft.operators.tensor import KINDS, VALUE, Tensor, TensorError, as_complex, c, dense, full, literal, settled, summed
 from tensorweft.plans import pattern as P
 
 
@@ -49,6 +49,7 @@ def to_real(t: Tensor) -> Tensor:
     """Complex to real with the modulus kept and the sign of the real part; purely imaginary elements give their im."""
     if not t.complex:
         return t
+    t = settled(t)
     re, im = F.col("re").cast("double"), F.col("im").cast("double")
     v = F.when(re != 0, F.hypot(re, im) * F.signum(re)).otherwise(im)
     return t.with_df(t.df.select(*map(c, t.dims), v.cast(VALUE[t.kind]).alias("v")), kind="R" + t.kind[1])
@@ -160,8 +161,8 @@ def insert(t: Tensor, part: Tensor, offsets: Sequence[int], accumulate: bool = F
         kind = "C" + kind[1]
     moved = part.df.select(*[(c(d) + a).alias(d) for d, a in zip(t.dims, offsets)], *t.values)
     if accumulate:
-        return t.with_df(summed([t.df, moved], t.dims, kind), kind=kind)
-    return t.with_df(t.df.filter(~inside(t, offsets, part.known())).unionByName(moved), kind=kind)
+        return t.with_df(summed([t.df, moved], t.dims, kind), kind=kind, unsummed=False)
+    return t.with_df(t.df.filter(~inside(t, offsets, part.known())).unionByName(moved), kind=kind, unsummed=t.unsummed or part.unsummed)
 
 
 def trace(p: P.Pattern | str, t: Tensor, into: Tensor | None = None) -> Tensor:
@@ -170,7 +171,6 @@ def trace(p: P.Pattern | str, t: Tensor, into: Tensor | None = None) -> Tensor:
     A scalar trace overwrites its destination, others add to it. Equal labels need equal extents.
     """
     from tensorweft.operators.algebra import add
-    from tensorweft.operators.elementwise import conjugate
 
     p = P.check_trace(P.parse(p) if isinstance(p, str) else p)
     one = p.inputs[0]
@@ -192,7 +192,8 @@ def trace(p: P.Pattern | str, t: Tensor, into: Tensor | None = None) -> Tensor:
     df = t.df.filter(same).select(*[c(f"_d{first[x]}").alias(x) for x in p.dest.labels], *t.values)
     if set(one.labels) - set(p.dest.labels):
         df = summed([df], p.dest.labels, t.kind)
-    out = Tensor(df, p.dest.labels, tuple(known[x] for x in p.dest.labels), t.kind, p.dest.name)
+    summing = bool(set(one.labels) - set(p.dest.labels))
+    out = Tensor(df, p.dest.labels, tuple(known[x] for x in p.dest.labels), t.kind, p.dest.name, t.unsummed and not summing)
     return out if into is None or not p.dest.labels else add(out, into)
 
 
@@ -214,10 +215,11 @@ def transform(t: Tensor, f: Callable[..., Column], keeps_zero: bool = True) -> T
     """v = f(v, coordinates...) for real kinds; a function that doesn't keep zero gets every coordinate."""
     if t.complex:
         raise TensorError("transform takes real kinds; see custom functors for complex ones")
-    t = t if keeps_zero else dense(t)
+    t = settled(t) if keeps_zero else dense(t)
     return t.with_df(t.df.select(*map(c, t.dims), f(F.col("v"), *map(c, t.dims)).cast(VALUE[t.kind]).alias("v")))
 
 
 def fill(t: Tensor, value: complex | float) -> Tensor:
     """value at every coordinate that t has a row for."""
+    t = settled(t)
     return t.with_df(t.df.select(*map(c, t.dims), *literal(value, t.kind)))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorweft.operators.tensor import Tensor, c, modulus
+from tensorweft.operators.tensor import Tensor, c, modulus, settled
 
 ABSOLUTE, RELATIVE = 1e-13, 1e-2
 
 
 def _one(t: Tensor, value: Column, name: str) -> DataFrame:
-    return t.df.agg(value.alias(name))
+    return settled(t).df.agg(value.alias(name))
 
 
 def norm1(t: Tensor) -> DataFrame:
@@ -46,7 +46,7 @@ def min_abs(t: Tensor) -> DataFrame:
 def argmax(t: Tensor) -> DataFrame:
     """The element of the largest modulus with its coordinates; of equals the one with the smallest coordinates."""
     place = F.struct((-modulus(t)).alias("m"), *map(c, t.dims), *[F.col(v) for v in t.values])
-    best = t.df.agg(F.min(place).alias("b")).filter("b IS NOT NULL")
+    best = settled(t).df.agg(F.min(place).alias("b")).filter("b IS NOT NULL")
     return best.select(*[F.col(f"b.`{d}`").alias(d) for d in t.dims], *[F.col(f"b.{v}").alias(v) for v in t.values])
 
 

@@ -35,6 +35,8 @@ class Tensor:
     extents: tuple[int | None, ...]
     kind: str = "R8"
     name: str = "T"
+    #: Rows of one coordinate may repeat and count as their sum (see from_table); operations that need one row sum first.
+    unsummed: bool = False
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -76,7 +78,7 @@ class Tensor:
         return self.df.isEmpty()
 
     def with_df(self, df: DataFrame, **changes) -> Tensor:
-        return Tensor(df, changes.get("dims", self.dims), changes.get("extents", self.extents), changes.get("kind", self.kind), changes.get("name", self.name))
+        return Tensor(df, changes.get("dims", self.dims), changes.get("extents", self.extents), changes.get("kind", self.kind), changes.get("name", self.name), changes.get("unsummed", self.unsummed))
 
     def named(self, name: str) -> Tensor:
         return self.with_df(self.df, name=name)
@@ -109,8 +111,8 @@ class Tensor:
     def from_table(df: DataFrame, coordinates: dict[str, Column | str], value: Column | str | tuple = 1.0, extents: Sequence[int | None] | None = None, kind: str = "R8", name: str = "T", sums: bool = True) -> Tensor:
         """Coordinates and values from columns; rows of one coordinate are summed, and rows with a null are dropped.
 
-        sums=False leaves the rows as they are, which saves a shuffle: for coordinates that don't repeat, or for inputs of
-        contractions that sum (these are linear, so repeated rows add up there) whose rows repeat little.
+        sums=False leaves the rows as they are, which saves a shuffle: for coordinates that repeat little or not at all.
+        Linear operations take such a tensor as it is, since its rows add up; others sum it when they need to.
         """
         col = lambda x: F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
         values = value if isinstance(value, tuple) else (value,)
@@ -122,7 +124,7 @@ class Tensor:
         dims = tuple(coordinates)
         if dims and not sums:
             out = picked.select(*map(c, dims), *[F.col(n).cast(VALUE[kind]).alias(n) for n in names])
-            return Tensor(out, dims, tuple(extents) if extents is not None else (None,) * len(dims), kind, name)
+            return Tensor(out, dims, tuple(extents) if extents is not None else (None,) * len(dims), kind, name, True)
         summed = picked.groupBy(*map(c, dims)).agg(*[F.sum(n).alias(n) for n in names])
         if not dims:
             summed = summed.select(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
@@ -170,7 +172,7 @@ class Tensor:
         out = np.zeros(self.known(), complex if self.complex else float)
         for r in self.df.collect():
             at = tuple(r[d] for d in self.dims)
-            out[at] = complex(r["re"], r["im"]) if self.complex else r["v"]
+            out[at] += complex(r["re"], r["im"]) if self.complex else r["v"]
         return out
 
     def get_scalar(self) -> complex | float:
@@ -184,7 +186,13 @@ class Tensor:
 
     def show(self, threshold: float = 1e-13) -> DataFrame:
         """Elements with a modulus above threshold, ordered by coordinates."""
-        return self.df.filter(modulus(self) > threshold).orderBy(*map(c, self.dims)) if self.rank else self.df.filter(modulus(self) > threshold)
+        rows = settled(self).df.filter(modulus(self) > threshold)
+        return rows.orderBy(*map(c, self.dims)) if self.rank else rows
+
+
+def settled(t: Tensor) -> Tensor:
+    """The same tensor with a row per coordinate."""
+    return t.with_df(summed([t.df], t.dims, t.kind), unsummed=False) if t.unsummed else t
 
 
 def modulus(t: Tensor) -> Column:
@@ -236,7 +244,7 @@ def dense(t: Tensor) -> Tensor:
         return t.with_df(total)
     zero = grid(t.df.sparkSession, t.dims, t.known()).select(*map(c, t.dims), *literal(0.0, t.kind))
     both = t.df.unionByName(zero).groupBy(*map(c, t.dims)).agg(*[F.sum(v).cast(VALUE[t.kind]).alias(v) for v in t.values])
-    return t.with_df(both)
+    return t.with_df(both, unsummed=False)
 
 
 def wider(a: str, b: str) -> str:

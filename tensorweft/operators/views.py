@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tensorweft.operators.algebra import add, contract
 from tensorweft.operators.elementwise import insert, slice_of
-from tensorweft.operators.tensor import Tensor, TensorError, as_complex, c, modulus, wider
+from tensorweft.operators.tensor import Tensor, TensorError, as_complex, c, modulus, settled, wider
 from tensorweft.plans import pattern as P
 
 
@@ -146,7 +146,7 @@ def ordered(t: Tensor, *dims: str) -> DataFrame:
 
 def top(t: Tensor, k: int) -> DataFrame:
     """The k elements of the largest moduli, of equals those with the smaller coordinates."""
-    return t.df.orderBy(modulus(t).desc(), *map(c, t.dims)).limit(k)
+    return settled(t).df.orderBy(modulus(t).desc(), *map(c, t.dims)).limit(k)
 
 
 def strong_dimensions(extents: Sequence[int], strength: Callable[[int, int], float] | None = None, threshold: float = 0.0) -> list[int]:

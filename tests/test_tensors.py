@@ -184,6 +184,9 @@ def test_scalars_and_sources(spark):
     assert np.array_equal(Tensor.from_table(rows, {"i": "i", "j": "j"}, "v", (2, 2)).to_numpy(), [[0, 5], [0, 0]])
     twice = Tensor.from_table(rows, {"i": "i", "j": "j"}, "v", (2, 2), sums=False)
     assert twice.df.count() == 2 and inner(twice, full(spark, "xy", (2, 2), 1.0)).get_scalar() == 5
+    assert np.array_equal(contract("H(a,b)+=L(a,b)*R(a,b)", twice, twice).to_numpy(), [[0, 25], [0, 0]]) and reduce.max_abs(twice).first()[0] == 5
+    assert np.array_equal(E.transform(E.permute(twice, ["j", "i"]), lambda x, *at: x * x).to_numpy(), [[0, 0], [25, 0]]) and twice.show().count() == 1
+    assert np.array_equal(contract_blocked("D(a,c)+=L(a,b)*R(c,b)", twice, twice, 2).to_numpy(), [[25, 0], [0, 0]])
     a = random(spark, ["i", "j"], (30, 30), 1).to_numpy()
     assert np.array_equal(a, random(spark, ["i", "j"], (30, 30), 1).to_numpy()) and 0.45 < a.mean() < 0.55 and 0 <= a.min() and a.max() < 1
     f = from_function(spark, ["i", "j"], (2, 3), lambda i, j: i * 10 + j)
