@@ -157,25 +157,32 @@ def matmul(left: Tensor, right: Tensor, rank: int, factor: complex | float = 1.0
     return contract(f"D({','.join(a[: left.rank - n] + b[n:])})+=L({','.join(a)})*R({','.join(b)})", left, right, into, factor, accumulate)
 
 
-def custom(f: Callable[..., Column], *tensors: Tensor, fills: bool = False) -> Tensor:
-    """T = f(values of all at a coordinate) for tensors of one shape: real kinds, missing coordinates read as zero.
+def custom(f: Callable[..., Column | tuple[Column, Column]], *tensors: Tensor, fills: bool = False) -> Tensor:
+    """T = f(values of all at a coordinate) for tensors of one shape; missing coordinates read as zero.
 
-    One union and one pass of sums line the values up, whatever the number of tensors. fills: f of zeros isn't zero, so
+    Values are columns; if one of the tensors is complex, all are pairs of columns (re, im), and so is f's result. One
+    union and one pass of sums line the values up, whatever the number of tensors. fills: f of zeros isn't zero, so
     coordinates that no tensor has need a row too.
     """
     first = tensors[0]
-    if any(t.complex or t.rank != first.rank for t in tensors):
-        raise TensorError("custom operations take real tensors of one rank")
+    if any(t.rank != first.rank for t in tensors):
+        raise TensorError("custom operations take tensors of one rank")
+    whole = any(t.complex for t in tensors)
+    tensors = tuple(map(as_complex, tensors)) if whole else tensors
     if fills:
-        first = dense(first)
-        tensors = (first, *tensors[1:])
+        tensors = (dense(tensors[0]), *tensors[1:])
+    first = tensors[0]
+    names = [f"_{j}_{v}" for j in range(len(tensors)) for v in first.values]
     parts = []
     for k, t in enumerate(tensors):
         t = t.relabel(first.dims)
-        parts.append(t.df.select(*map(c, first.dims), *[(F.col("v").cast("double") if j == k else F.lit(0.0)).alias(f"_{j}") for j in range(len(tensors))]))
-    whole = parts[0]
+        own = {f"_{k}_{v}": F.col(v).cast("double") for v in t.values}
+        parts.append(t.df.select(*map(c, first.dims), *[own.get(n, F.lit(0.0)).alias(n) for n in names]))
+    union = parts[0]
     for x in parts[1:]:
-        whole = whole.unionByName(x)
-    lined = whole.groupBy(*map(c, first.dims)).agg(*[F.sum(f"_{j}").alias(f"_{j}") for j in range(len(tensors))])
-    first = first.with_df(first.df, unsummed=False)
-    return first.with_df(lined.select(*map(c, first.dims), f(*[F.col(f"_{j}") for j in range(len(tensors))]).cast("double").alias("v")), kind="R8")
+        union = union.unionByName(x)
+    lined = union.groupBy(*map(c, first.dims)).agg(*[F.sum(n).alias(n) for n in names])
+    values = [tuple(F.col(f"_{j}_{v}") for v in first.values) for j in range(len(tensors))]
+    made = f(*(values if whole else [v[0] for v in values]))
+    columns = [x.cast("double").alias(n) for x, n in zip(made if whole else (made,), first.values, strict=True)]
+    return first.with_df(lined.select(*map(c, first.dims), *columns), kind="C8" if whole else "R8", unsummed=False)

@@ -211,12 +211,16 @@ def ordered(t: Tensor, *groups: tuple[Sequence[str], str]) -> Tensor:
     return t
 
 
-def transform(t: Tensor, f: Callable[..., Column], keeps_zero: bool = True) -> Tensor:
-    """v = f(v, coordinates...) for real kinds; a function that doesn't keep zero gets every coordinate."""
-    if t.complex:
-        raise TensorError("transform takes real kinds; see custom functors for complex ones")
+def transform(t: Tensor, f: Callable[..., Column | tuple[Column, Column]], keeps_zero: bool = True) -> Tensor:
+    """v = f(v, coordinates...), for complex kinds (re, im) = f((re, im), coordinates...).
+
+    A function that doesn't keep zero gets every coordinate.
+    """
     t = settled(t) if keeps_zero else dense(t)
-    return t.with_df(t.df.select(*map(c, t.dims), f(F.col("v"), *map(c, t.dims)).cast(VALUE[t.kind]).alias("v")))
+    value = tuple(map(F.col, t.values))
+    made = f(value if t.complex else value[0], *map(c, t.dims))
+    columns = [x.cast(VALUE[t.kind]).alias(n) for x, n in zip(made if t.complex else (made,), t.values, strict=True)]
+    return t.with_df(t.df.select(*map(c, t.dims), *columns))
 
 
 def fill(t: Tensor, value: complex | float) -> Tensor:

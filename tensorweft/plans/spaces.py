@@ -146,6 +146,12 @@ class SpaceRegistry:
         space, lo, hi = self.range_of(name)
         return min(((a, b) for _, _, _, a, b in self.spaces[space].nodes if a <= lo and hi <= b), key=lambda r: r[1] - r[0])
 
+    def embedding(self, name: str) -> tuple[int, int]:
+        """(extent, offset): a tensor over the subspace lies in one over the node that covers it, from the offset on."""
+        _, lo, _ = self.range_of(name)
+        a, b = self.smallest_covering(name)
+        return b - a, lo - a
+
     def resolve(self, extents: Sequence[int], callback: Callable[[int], int]) -> tuple[int, ...]:
         """Deferred extents (0), resolved by position."""
         return tuple(n or callback(i) for i, n in enumerate(extents))

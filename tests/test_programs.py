@@ -108,7 +108,7 @@ def test_spaces(spark):
     r.register_space("o", 8)
     r.register_subspace("x", "o", 5, 7)
     r.register_label("i", "x")
-    assert r.extent("i") == 2 and r.range_of("o") == ("o", 0, 8) and r.smallest_covering("x") == (4, 8) and r.exists("i")
+    assert r.extent("i") == 2 and r.range_of("o") == ("o", 0, 8) and r.smallest_covering("x") == (4, 8) and r.embedding("i") == (4, 1) and r.exists("i")
     assert r.resolve((0, 3), lambda k: 7 + k) == (7, 3)
     with pytest.raises(spaces.SpaceError):
         r.register_subspace("y", "o", 5, 9)

@@ -156,6 +156,8 @@ def test_complex_parts(spark):
     assert np.allclose(E.real(t).to_numpy(), a.real) and np.allclose(E.imaginary(t).to_numpy(), a.imag)
     assert np.allclose(E.conjugate(t).to_numpy(), a.conj()) and np.allclose(E.scale(t, 1 - 2j).to_numpy(), a * (1 - 2j))
     assert E.cast(t, "C4").df.dtypes[-1] == ("im", "float") and np.allclose(E.cast(t, "R8").to_numpy(), [[5, -5], [2, 0]])
+    assert np.allclose(custom(lambda x, y: (x[0] + y[1], x[1] - y[0]), t, tensor(spark, a.real)).to_numpy(), a - 1j * a.real)
+    assert np.allclose(E.transform(t, lambda z, i, j: (z[0] + i, z[1] + j), keeps_zero=False).to_numpy(), a + np.add.outer(np.arange(2), 1j * np.arange(2)))
     assert inner(t, t, conj=True).get_scalar() == pytest.approx(np.sum(np.abs(a) ** 2))
 
 
