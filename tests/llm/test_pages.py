@@ -19,7 +19,7 @@ def test_article():
     assert text == "Title & more\nFirst bold , line one.\nSecond!\nafter\nitem one\nitem two".replace("bold ,", "bold,")
 
 
-@pytest.mark.parametrize("html, text", [("", ""), ("<p>a", "a"), ("no tags &lt;b&gt;", "no tags <b>"), ("<div class='menu'>x</div><p>y</p>z", "y\nz"), ("<article><p>a<", "a<"), ("<article>a &a</article>", "a &a"), ("<p " + "x" * 1000, ""), ("</p></div>q", "q"), ("<div class='content with-sidebar'><div class='post-header'><h1>T</h1></div><p>x</p><div class='left-sidebar'>s</div></div>", "T\nx"), ("<nav>menu<article>inside</article></nav><p>t", "t")])
+@pytest.mark.parametrize("html, text", [("", ""), ("<p>a", "a"), ("no tags &lt;b&gt;", "no tags <b>"), ("<div class='menu'>x</div><p>y</p>z", "y\nz"), ("<article><p>a<", "a<"), ("<article>a &a</article>", "a &a"), ("<p " + "x" * 1000, ""), ("</p></div>q", "q"), ("<div class='content with-sidebar'><div class='post-header'><h1>T</h1></div><p>x</p><div class='left-sidebar'>s</div></div>", "T\nx"), ("<p hidden>a</p><p style='overflow: hidden'>b</p><p style=\"display: none\">c</p><p aria-hidden=true>d</p>", "b"), ("<nav>menu<article>inside</article></nav><p>t", "t")])
 def test_odd_pages(html, text):
     assert htmlwrap.main_text(html, None)[0] == text
 
