@@ -150,18 +150,18 @@ class Tensor:
 
     @staticmethod
     def from_numpy(spark: SparkSession, array, dims: Sequence[str], name: str = "T") -> Tensor:
-        """A small local array (tests and constants)."""
+        """A local array, through Arrow; its nonzero elements become rows."""
         import numpy as np
+        import pyarrow as pa
 
         array = np.asarray(array)
         whole = np.iscomplexobj(array)
         kind = "C8" if whole else "R8"
-        rows = []
-        for at in zip(*np.nonzero(array)) if array.ndim else [()] if array != 0 else []:
-            x = array[at] if array.ndim else array[()]
-            rows.append((*map(int, at), *((float(x.real), float(x.imag)) if whole else (float(x),))))
-        schema = ", ".join([f"`{d}` bigint" for d in dims] + (["re double", "im double"] if whole else ["v double"]))
-        return Tensor(spark.createDataFrame(rows, schema), tuple(dims), array.shape, kind, name)
+        at = np.nonzero(array) if array.ndim else ()
+        found = array[at] if array.ndim else array.reshape(1)
+        columns = {d: x.astype(np.int64) for d, x in zip(dims, at, strict=True)}
+        columns |= {"re": found.real.astype(float), "im": found.imag.astype(float)} if whole else {"v": found.astype(float)}
+        return Tensor(spark.createDataFrame(pa.table({n: pa.array(np.ascontiguousarray(x)) for n, x in columns.items()})), tuple(dims), array.shape, kind, name)
 
     # -- reads
 
@@ -169,10 +169,11 @@ class Tensor:
         """The dense body on the driver: for small tensors and slices."""
         import numpy as np
 
+        rows = self.df.select(*map(c, self.dims), *self.values).toArrow()
+        get = lambda n: rows.column(n).to_numpy()
         out = np.zeros(self.known(), complex if self.complex else float)
-        for r in self.df.collect():
-            at = tuple(r[d] for d in self.dims)
-            out[at] += complex(r["re"], r["im"]) if self.complex else r["v"]
+        at = np.ravel_multi_index(tuple(map(get, self.dims)), self.known()) if self.rank else np.zeros(len(rows), np.int64)
+        np.add.at(out.reshape(-1), at, get("re") + 1j * get("im") if self.complex else get("v"))
         return out
 
     def get_scalar(self) -> complex | float:

@@ -447,6 +447,13 @@ def orthogonalisation(spark, d):
     return contract("G(x,y)+=L(i,x)*R(i,y)", u, u).df.select("x", "y", (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
+@query("SELECT x, y, CAST(CASE WHEN x = y THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(8) t(x), range(8) u(y)")
+def gram_schmidt(spark, d):
+    """Products of the columns of A made orthonormal one after the other."""
+    u = linalg.gram_schmidt("D(i,j)=L(i,m)*R(m,j)", A(spark, d))
+    return contract("G(x,y)+=L(i,x)*R(i,y)", u, u).df.select("x", "y", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
 # ------------------------------------------------------------------ sources
 
 

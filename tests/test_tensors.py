@@ -250,3 +250,15 @@ def test_truncation_and_orthogonalisation(spark):
         linalg.svd("D(a,b)=L(a,i)*R(b,j)", t)
     with pytest.raises(TensorError):
         linalg.svd("D(a,b)=L(a,i)*R(i,b)", Tensor.zeros(spark, "ab", (5000, 5000)))
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_gram_schmidt(spark, whole):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(3, 2, 4)) + (1j * rng.normal(size=(3, 2, 4)) if whole else 0)
+    got = linalg.gram_schmidt("D(a,b,c)=L(i,c,a)*R(b,i)", tensor(spark, a)).to_numpy()
+    q, r = np.linalg.qr(a.transpose(2, 0, 1).reshape((12, 2), order="F"))
+    want = q * (np.diag(r) / np.abs(np.diag(r)))
+    assert np.allclose(got.transpose(2, 0, 1).reshape((12, 2), order="F"), want)
+    with pytest.raises(TensorError):
+        linalg.gram_schmidt("D(a,b)=L(i,a)*R(b,i)", tensor(spark, np.ones((3, 2))))
