@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorweft.llm.common import emit, fresh_path, materialise, quoted, ship, slices, values
@@ -314,6 +314,11 @@ def read_records(located: DataFrame, payloads: bool = True) -> DataFrame:
 
 def archive(pages: DataFrame, page_id: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Write a record per row of pages to packages in the shared folder; the table of the packages."""
-    folder = fresh_path(pages.sparkSession, "archives")
-    folder = folder if "://" in folder else f"file://{folder}"
-    return write_packages(with_references(pages, page_id, html, url), folder)
+    return write_packages(with_references(pages, page_id, html, url), uri(pages.sparkSession, fresh_path(pages.sparkSession, "archives")))
+
+
+def uri(spark: SparkSession, path: str) -> str:
+    """A path as the cluster's default file system takes it, with its scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole

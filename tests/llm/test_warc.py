@@ -95,3 +95,7 @@ def test_damaged_payload():
     assert warc.parse_record(record)["payload"] == b"payload"
     with pytest.raises(warc.BadPackage):
         warc.parse_record(record.replace(b"payload\r\n\r\n", b"PAYLOAD\r\n\r\n"))
+
+
+def test_uri(spark, tmp_path):
+    assert warc.uri(spark, str(tmp_path)) == warc.uri(spark, f"file:{tmp_path}") == warc.uri(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
