@@ -495,9 +495,10 @@ def _folder(spark, name: str) -> str:
 # ------------------------------------------------------------------ spaces and scalars
 
 
-@query("SELECT subspace_id, parent_id, CAST(level AS INTEGER) AS level, lo, hi FROM (VALUES (0, NULL, 0, 0, 8), (1, 0, 1, 0, 4), (2, 0, 1, 4, 8), (3, 1, 2, 0, 2), (4, 1, 2, 2, 4), (5, 2, 2, 4, 6), (6, 2, 2, 6, 8), (7, 3, 3, 0, 1), (8, 3, 3, 1, 2), (9, 4, 3, 2, 3), (10, 4, 3, 3, 4), (11, 5, 3, 4, 5), (12, 5, 3, 5, 6), (13, 6, 3, 6, 7), (14, 6, 3, 7, 8)) t(subspace_id, parent_id, level, lo, hi)".replace("SELECT subspace_id, parent_id,", "SELECT CAST(subspace_id AS BIGINT) AS subspace_id, CAST(parent_id AS BIGINT) AS parent_id,").replace("lo, hi FROM", "CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM", 1))
+@query("SELECT subspace_id, parent_id, CAST(level AS INTEGER) AS level, lo, hi FROM (VALUES (0, -1, 0, 0, 8), (1, 0, 1, 0, 4), (2, 0, 1, 4, 8), (3, 1, 2, 0, 2), (4, 1, 2, 2, 4), (5, 2, 2, 4, 6), (6, 2, 2, 6, 8), (7, 3, 3, 0, 1), (8, 3, 3, 1, 2), (9, 4, 3, 2, 3), (10, 4, 3, 3, 4), (11, 5, 3, 4, 5), (12, 5, 3, 5, 6), (13, 6, 3, 6, 7), (14, 6, 3, 7, 8)) t(subspace_id, parent_id, level, lo, hi)".replace("SELECT subspace_id, parent_id,", "SELECT CAST(subspace_id AS BIGINT) AS subspace_id, CAST(parent_id AS BIGINT) AS parent_id,").replace("lo, hi FROM", "CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM", 1))
 def space_tree(spark, d):
-    return spaces.Space("s", 8).table(spark).drop("space")
+    tree = spaces.Space("s", 8).table(spark).drop("space")
+    return tree.withColumn("parent_id", F.coalesce("parent_id", F.lit(-1)))  # the whole space has none
 
 
 _TREE = "WITH RECURSIVE t AS (SELECT CAST(0 AS BIGINT) AS lo, CAST(8 AS BIGINT) AS hi UNION ALL SELECT unnest([lo, (lo + hi) // 2]), unnest([(lo + hi) // 2, hi]) FROM t WHERE hi - lo > 1)\n"
