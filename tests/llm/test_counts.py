@@ -50,6 +50,22 @@ def test_quality_bands():
     assert quality.compression(("x y z " * 6000 + prose).encode(), z)[2] > 0.5
 
 
+def test_quality_bands_from_documents(spark):
+    """Texts that pass the base rules and the fixed bands go where their ratio is far from that of the others."""
+    r = random.Random(4)
+    clean = [words(150, k, 300) for k in range(300)]
+    few = words(40, 77, 200).split()
+    repetitive = [" ".join(r.choices(few, k=150)) for _ in range(8)]
+    noise = [" ".join(base64.b64encode(r.randbytes(6)).decode() for _ in range(110)) for _ in range(8)]
+    rows = [(i, t) for i, t in enumerate(clean + repetitive + noise)]
+    out = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    z = zstandard.ZstdCompressor(level=3)
+    odd = rows[len(clean) :]
+    assert not any(out[i].base_failed for i, _ in odd) and all(quality.compression(t.encode(), z)[0] for _, t in odd)
+    assert not any(out[i].kept for i, _ in odd)
+    assert sum(out[i].kept for i in range(len(clean))) >= 0.97 * len(clean)
+
+
 def test_quality_empty_and_clashes(none, clashing):
     assert quality.quality(none).count() == 0
     out = quality.quality(clashing)
