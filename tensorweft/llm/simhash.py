@@ -15,7 +15,7 @@ smallest id of no group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations, repeat
 
 from pyspark.sql import DataFrame
@@ -108,12 +108,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The rows of docs with the smallest id of each near-duplicate group.
 
     Of equal rows under one id one stays; different texts under one id both stay, as do rows without an id.
     """
-    found = near_duplicates(docs, doc_id, text)
+    found = groups(docs, doc_id, text)
     kept = materialise(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     ids = kept.select(F.col("doc_id").alias(doc_id))
     held = docs.join(ids.hint("shuffle_hash"), doc_id, "left_semi").select(docs.columns)

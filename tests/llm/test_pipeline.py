@@ -1,16 +1,18 @@
 """The pipeline against its parts' plain versions, stage by stage."""
 
+import random
 import re
 
 import pytest
 import zstandard
 
 import corpus_pipeline
-from tensorweft.llm import quality
+from tensorweft.llm import quality, setjoin, simhash
 from tensorweft.llm.common import table
 
 from .test_counts import ITEMS, plain_counts, plain_hits
-from .test_duplicates import plain_fingerprint, plain_groups
+from .test_duplicates import plain_fingerprint, plain_groups, roots
+from .conftest import DOCS, words
 from .test_pii import plain
 
 
@@ -60,3 +62,27 @@ def test_empty(spark, none, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_near_copies_by_similarity(spark):
+    """Groups are those of all pairs whose five-word shingles reach 0.8, also where every posting is a long one."""
+    r = random.Random(3)
+    texts = []
+    for k in range(12):
+        base = words(r.randint(60, 300), k, 400).split()
+        for _ in range(r.randint(1, 8)):
+            base = list(base)
+            for _ in range(r.randint(0, 5)):
+                base[r.randrange(len(base))] = f"w{r.randrange(10**6)}"
+            texts.append(" ".join(base))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS).repartition(3)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    least = {g: min(i for i, x in enumerate(root) if x == g) for g in set(root)}
+    assert 12 <= len(least) < len(texts) - 12
+    for most in (1, 64):
+        got = {x.doc_id: x.component_id for x in setjoin.near_duplicates(docs, max_posting=most).collect()}
+        assert got == {i: least[g] for i, g in enumerate(root)}
+    # copies that op2's two bits keep apart don't pass the stage
+    kept = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(least.values()) and simhash.keep_one(docs).count() > len(kept)
