@@ -30,7 +30,7 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 #: Words that make the place of a string sensitive.
 SENSITIVE = (b"key", b"auth", b"bearer", b"secret", b"token", b"passw", b"passphrase", b"pwd", b"credential", b"private", b"signature", b"session", b"cookie")
 CONTEXT = re.compile(rb"(?i)(?<![a-z])(?:[a-z]+[_-])?(?:api|access|secret|private|signing|encryption)?[_ -]?(?:key|auth|authorization|bearer|secret|token|password|passphrase|pwd|credentials?|signature|session|cookie)(?![a-z])")
-CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 BEFORE = 48
 AROUND = 256
 NOVELTY = 0.7

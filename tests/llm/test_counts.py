@@ -161,3 +161,14 @@ def test_novel_secrets(spark):
 def test_secrets_empty(none, clashing):
     assert secrets.secrets(none).count() == 0
     assert dict(secrets.secrets(clashing).dtypes)["spans"] == "string"
+
+
+def test_long_novel_secret():
+    """A key of any length is one novel span."""
+    r = random.Random(6)
+    novelty = secrets.Novelty()
+    for size in (16, 512, 513, 2000, 300_000):
+        key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size - 2)) + "a1"
+        text = f"the session cookie is {key} here"
+        assert secrets.novel_spans(text.encode(), [], novelty) == [(22, 22 + size, "novel")]
+    assert secrets.novel_spans(b"the session cookie is " + b"abc123" * 500, [], novelty) == []
