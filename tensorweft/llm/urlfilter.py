@@ -4,8 +4,8 @@ A rule is (verdict, host, path). It fits its host and all subdomains if the url'
 rules that fit the longest wins, of equally long ones the one listed first. Other urls get the trees' verdict.
 
 Features: lengths of url, host, path and query; depth; digit and hyphen shares; entropy of host and path; numbers of
-parameters and subdomains; the longest label; and suffix statistics, the smoothed share of blocked labels among training
-urls with the same last one, two and three host labels. A training url doesn't count itself in these.
+parameters and subdomains; the longest label; and suffix statistics, the smoothed share of blocked labels among all
+labelled urls with the same last one, two and three host labels. A training url doesn't count itself in these.
 
 The trees are trained on at most SAMPLE labelled urls, those with the smallest hashes of the url, so the fit is bounded
 and the same on every run; scoring covers all rows. Without labelled urls of both kinds the method allows everything
@@ -18,11 +18,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
+from copy import copy
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorweft.llm.common import annotate, quoted
+from tensorweft.llm.common import annotate, emit, materialise, maybe_broadcast, quoted
 
 #: Labelled urls that a fit reads at most.
 SAMPLE = 20_000
@@ -88,22 +90,22 @@ def lexical(url: str | None) -> list[float]:
 
 
 class SuffixStatistics:
-    """Blocked and all labels by suffix."""
+    """Blocked and all labels by (place, suffix); those of the given urls, or counted before."""
 
-    def __init__(self, hosts: Sequence[str], labels: Sequence[int]):
-        self.seen: dict[str, list[int]] = {}
-        for h, y in zip(hosts, labels):
-            for s in suffixes(h):
-                x = self.seen.setdefault(s, [0, 0])
+    def __init__(self, hosts: Sequence[str], labels: Sequence[int], seen: dict | None = None, prior: float | None = None):
+        self.seen: dict[tuple[int, str], list[int]] = dict(seen or {})
+        for h, y in zip(hosts, labels) if seen is None else ():
+            for key in enumerate(suffixes(h)):
+                x = self.seen.setdefault(key, [0, 0])
                 x[0] += y
                 x[1] += 1
-        self.prior = sum(labels) / max(1, len(labels))
+        self.prior = sum(labels) / max(1, len(labels)) if prior is None else prior
 
-    def shares(self, host: str, own: int | None = None) -> list[float]:
-        """own: the label of a training url, taken out of the counts."""
+    def shares(self, host: str, own: int | None = None, counts: Sequence[tuple[int, int]] | None = None) -> list[float]:
+        """own: the label of a training url, taken out of the counts. counts: blocked and all labels of the host's suffixes, where known."""
         out = []
-        for s in suffixes(host):
-            bad, n = self.seen.get(s, (0, 0))
+        for k, s in enumerate(suffixes(host)):
+            bad, n = self.seen.get((k, s), (0, 0)) if counts is None else counts[k]
             if own is not None:
                 bad, n = bad - own, n - 1
             out.append((bad + SMOOTH * self.prior) / (n + SMOOTH))
@@ -171,23 +173,26 @@ class Trees:
 
 
 class UrlModel:
-    def __init__(self, urls: Sequence[str | None], labels: Sequence[int]):
+    #: (k, suffix, bad, n) of all labelled urls, which judge() joins to every url.
+    counts: DataFrame | None = None
+
+    def __init__(self, urls: Sequence[str | None], labels: Sequence[int], seen: dict | None = None, prior: float | None = None):
         import numpy as np
 
         hosts = [split_url(u)[0] for u in urls]
-        self.statistics, self.trees = SuffixStatistics(hosts, labels), None
+        self.statistics, self.trees = SuffixStatistics(hosts, labels, seen, prior), None
         self.always = 1.0 if labels and all(labels) else 0.0
         if 0 < sum(labels) < len(labels):
             x = np.array([lexical(u) + self.statistics.shares(h, y) for u, h, y in zip(urls, hosts, labels)])
             self.trees = Trees().fit(x, np.array(labels, float))
 
-    def score(self, urls: Sequence[str | None]) -> list[float]:
-        """Chance of a block, per url."""
+    def score(self, urls: Sequence[str | None], counts: Sequence | None = None) -> list[float]:
+        """Chance of a block, per url. counts: those of each url's suffixes."""
         import numpy as np
 
         if self.trees is None or not len(urls):
             return [self.always] * len(urls)
-        x = np.array([lexical(u) + self.statistics.shares(split_url(u)[0]) for u in urls])
+        x = np.array([lexical(u) + self.statistics.shares(split_url(u)[0], None, c) for u, c in zip(urls, counts or repeat(None))])
         return self.trees.score(x).tolist()
 
 
@@ -197,23 +202,56 @@ def seed_label(url: Column, terms: Sequence[str] = BAD_TERMS) -> Column:
     return F.arrays_overlap(F.split(found, r"[.-]"), F.array(*map(F.lit, terms))).cast("int")
 
 
+def text_of(url: bytes | None) -> str | None:
+    return None if url is None else url.decode("utf-8", "replace")
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(k, suffix, bad, n) over all rows of (url, label)."""
+
+    def run(urls, labels):
+        rows = [(k, s, y) for u, y in zip(urls, labels) for k, s in enumerate(suffixes(split_url(text_of(u))[0]))]
+        return tuple(zip(*rows)) if rows else ((),) * 3
+
+    each = emit(labelled, ["url", "label"], run, "k int, suffix string, label long")
+    return materialise(each.groupBy("k", "suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n")), "suffixes")
+
+
 def train(labelled: DataFrame, url: str = "url", label: str = "label", sample: int = SAMPLE) -> UrlModel:
-    """Fit on the `sample` labelled urls with the smallest hashes."""
+    """Fit on the `sample` labelled urls with the smallest hashes; suffixes are counted over all of them."""
     few = labelled.select(quoted(url).alias("url"), quoted(label).cast("int").alias("label")).filter("label IS NOT NULL").distinct()
+    counts = suffix_counts(few)
     rows = few.orderBy(F.xxhash64("url"), "url", "label").limit(sample).collect()
-    return UrlModel([r[0] for r in rows], [r[1] for r in rows])
+    urls, labels = [r[0] for r in rows], [r[1] for r in rows]
+    wanted = sorted({x for u in urls for x in enumerate(suffixes(split_url(u)[0]))})
+    there = counts.join(F.broadcast(labelled.sparkSession.createDataFrame(wanted, "k int, suffix string")), ["k", "suffix"], "left_semi").collect()
+    total = counts.filter("k = 0").agg(F.sum("bad"), F.sum("n")).first()
+    model = UrlModel(urls, labels, {(r.k, r.suffix): [r.bad, r.n] for r in there}, (total[0] or 0) / (total[1] or 1))
+    model.counts = counts
+    return model
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", keep: Sequence[str] | None = None) -> DataFrame:
     """pages with host, path, rule, verdict and score (the model's, also where a rule decides)."""
-    held = pages.sparkSession.sparkContext.broadcast((model, Rules(rules)))
-
-    def run(urls):
+    counts, keep, found = model.counts, pages.columns if keep is None else list(keep), []
+    bare = copy(model)
+    bare.counts = None
+    held = pages.sparkSession.sparkContext.broadcast((bare, Rules(rules)))
+    if counts is not None:
+        named = lambda urls: tuple(zip(*(suffixes(split_url(text_of(u))[0]) for u in urls))) if urls else ((),) * 3
+        pages = annotate(pages, [url], named, "_suffix0 string, _suffix1 string, _suffix2 string", list(dict.fromkeys([*keep, url])))
+        for k in range(3):
+            part = counts.filter(F.col("k") == k).select(F.col("suffix").alias(f"_suffix{k}"), F.col("bad").alias(f"_bad{k}"), F.col("n").alias(f"_n{k}"))
+            pages = pages.join(maybe_broadcast(part), f"_suffix{k}", "left")
+            found += [f"_bad{k}", f"_n{k}"]
+
+    def run(urls, *seen):
         trained, known = held.value
-        urls = [None if u is None else u.decode("utf-8", "replace") for u in urls]
+        urls = [text_of(u) for u in urls]
+        known_counts = [[(x[2 * k] or 0, x[2 * k + 1] or 0) for k in range(3)] for x in zip(*seen)] if seen else None
         parts = [split_url(u) for u in urls]
-        fits, scores = [known.find(*p) for p in parts], trained.score(urls)
+        fits, scores = [known.find(*p) for p in parts], trained.score(urls, known_counts)
         verdicts = [f[1] if f else "block" if s >= THRESHOLD else "allow" for f, s in zip(fits, scores)]
         return [h for h, _ in parts], [p for _, p in parts], [f[0] if f else None for f in fits], verdicts, scores
 
-    return annotate(pages, [url], run, "host string, path string, rule string, verdict string, score double", keep)
+    return annotate(pages, [url, *found], run, "host string, path string, rule string, verdict string, score double", keep)

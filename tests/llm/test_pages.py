@@ -98,3 +98,17 @@ def test_no_labels(spark):
     assert none.score(["http://a/", None]) == [0.0, 0.0]
     assert urlfilter.train(spark.createDataFrame([("http://a/", 1), (None, None)], "url string, label int")).score(["x"]) == [1.0]
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string"), none).count() == 0
+
+
+def test_suffixes_outside_the_sample(spark):
+    """Suffixes are counted over all labelled urls, also those that aren't fitted on."""
+    rows = labelled(400, 3) + [(f"http://a.rare.net/{i}", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "url string, label int").repartition(3)
+    model = urlfilter.train(df, sample=50)
+    seen = {(r.k, r.suffix): (r.bad, r.n) for r in model.counts.collect()}
+    assert seen[1, "rare.net"] == (40, 40) and seen[0, "net"] == (40, 40)
+    assert model.statistics.prior == sum(y for _, y in set(rows)) / len(set(rows))
+    got = {r.url: r.score for r in urlfilter.judge(df.select("url"), model).collect()}
+    whole = urlfilter.SuffixStatistics([urlfilter.split_url(u)[0] for u, _ in set(rows)], [y for _, y in set(rows)])
+    model.statistics = whole
+    assert got == dict(zip(got, model.score(list(got))))
