@@ -163,28 +163,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return annotate(marked, mine, total, FIELDS, keep)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with the hit words cut out of their texts, white space around a cut made one space; for one block of items."""
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the words that any block of items hits cut out of their texts, white space around a cut made one space."""
     import re
 
-    blocks = blocks_of(benchmark, item_id, item_text, BLOCK_BYTES)
+    blocks, order = blocks_of(benchmark, item_id, item_text, block_bytes), docs.columns
     word, kind = re.compile(rb"[0-9A-Za-z\x80-\xff]+"), docs.schema[text].dataType.simpleString()
-    for block in blocks:
+    marked = docs.withColumn("_text", quoted(text))
+    for k, block in enumerate(blocks):
         held = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1].encode() if r[1] is not None else None) for r in block.collect()], window))
 
-        def cut(texts, held=held):
-            out = []
-            for t, (_, marks, items) in zip(texts, scan(texts, held.value)):
-                if any(marks):
-                    parts, last = [], 0
-                    for m, hit in zip(word.finditer(t), marks):
-                        if hit:
-                            parts.append(t[last : m.start()])
-                            last = m.end()
-                    t = re.sub(rb" {2,}", b" ", b"".join([*parts, t[last:]]))
-                out.append(None if t is None else t.decode())
-            return [out]
-
-        order = docs.columns
-        docs = annotate(docs.withColumn("_text", quoted(text)), ["_text"], cut, f"`{text}` {kind}", [c for c in order if c != text]).select(order)
-    return docs
+        def more(texts, *before, held=held):
+            marks = [bytes(m) for _, m, _ in scan(texts, held.value)]
+            return [[bytes(x | y for x, y in zip(a, b)) for a, b in zip(marks, before[0])] if before else marks]
+
+        marked = annotate(marked, ["_text", *(["_marks"] if k else [])], more, "_marks binary", [*(c for c in order if c != text), "_text"])
+        if len(blocks) > 1:
+            marked = materialise(marked, "marks")
+
+    def cut(texts, found):
+        out = []
+        for t, marks in zip(texts, found):
+            if any(marks):
+                parts, last = [], 0
+                for m, hit in zip(word.finditer(t), marks):
+                    if hit:
+                        parts.append(t[last : m.start()])
+                        last = m.end()
+                t = re.sub(rb" {2,}", b" ", b"".join([*parts, t[last:]]))
+            out.append(None if t is None else t.decode())
+        return [out]
+
+    return annotate(marked, ["_text", "_marks"], cut, f"`{text}` {kind}", [c for c in order if c != text]).select(*map(quoted, order))

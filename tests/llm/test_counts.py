@@ -172,3 +172,13 @@ def test_long_novel_secret():
         text = f"the session cookie is {key} here"
         assert secrets.novel_spans(text.encode(), [], novelty) == [(22, 22 + size, "novel")]
     assert secrets.novel_spans(b"the session cookie is " + b"abc123" * 500, [], novelty) == []
+
+
+def test_spans_over_blocks(spark):
+    """Overlapping windows of items in different blocks all go, as with one block."""
+    run = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(run[i : i + 12])) for i in range(0, 28, 4)]
+    df = spark.createDataFrame([(1, "before " + " ".join(run) + " after"), (2, None), (3, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({r.doc_id: r.text for r in decontam.remove_spans(df, bench, block_bytes=b).collect()} for b in (1 << 20, 40))
+    assert one == many and many[1].split() == ["before", *run[36:], "after"] and many[2] is None and many[3] == "clean text"
