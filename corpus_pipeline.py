@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, near-dedup by shingle sets, benchmark decontamination, personal data, mixing.
+"""The corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, personal data, mixing.
 
 run() applies the stages to documents, each to the whole written result of the one before. The first four return the
 columns of documents; the last adds size, source_size, target and taken, for documents that the mix takes words of.
@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorweft.llm import decontam, mixing, pii, quality, setjoin, simhash
+from tensorweft.llm import decontam, mixing, pii, quality, simhash
 from tensorweft.llm.common import materialise, quoted, table
 
 #: zstandard ratios, XXH64 fingerprints and components aren't SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
+#: Near duplicates share this much of their sets of SHINGLE-word runs.
+SHINGLE, SIMILARITY = 5, 0.8
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars, where documents have it, follows the text."""
@@ -32,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; five-word shingles, a similarity of 0.8 or more."""
-    return simhash.keep_one(docs, groups=setjoin.near_duplicates)
+    return simhash.keep_one(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

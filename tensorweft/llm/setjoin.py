@@ -1,15 +1,18 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: prefix-filtered postings, verified pairs, components.
+"""Links between texts whose sets of word shingles have a Jaccard similarity of t or more; exact.
 
 A text is the set of hashes of its runs of `shingle` words. Under any one order of all shingles, two sets whose
 similarity is at least t share one of the first n - ceil(t n) + 1 shingles of each, so postings of these prefixes lose no
 pair. The order puts shingles that are common in a sample of the texts last, others by their hashes; the sample decides
-what a run costs, never what it finds. Pairs whose sizes, places in the order or counts by bucket of hashes can't reach t
-go; the others are verified by the sets themselves.
+what a run costs, never what it finds.
 
-Postings of up to max_posting sets give all their pairs. Sets of a longer one are first held against its HUBS first
-members; of what these links leave in different components, all pairs are verified. Equal sets are one node. Texts of
-fewer words than a shingle are one shingle; those without words (null included) are one node. Repeated rows and ids are
-rows of one group. A null id is the smallest id of no group.
+Bounds that a pair must meet are join conditions, so only pairs that can reach t become rows: what is left of the sets
+behind the shared shingle, and a parity sketch (256 bits, each the parity of the hashes that fall on it: sets that differ
+in d shingles differ in at most d bits). Counts by bucket come next, then the sets themselves.
+
+Texts that are linked already (roots) aren't compared again. Postings of up to max_posting sets give all their pairs.
+The sets of a longer one are first held against HUBS of its members, drawn by hash; what these links leave apart is
+compared with salts, about SALT sets a task, so no task holds a long posting. That last step compares, but doesn't emit,
+as many pairs as the posting has sets that are neither linked nor alike.
 """
 
 from __future__ import annotations
@@ -20,19 +23,20 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorweft.llm.common import annotate, emit, materialise
-from tensorweft.llm.components import components
+from tensorweft.llm.common import annotate, discard, emit, materialise, maybe_broadcast
 
 SEED = 42
-SHINGLE = 5
-SIMILARITY = 0.8
-MAX_POSTING = 64
 HUBS = 4
+SALT = 1000
+#: Longs of a parity sketch.
+SKETCH = 4
 #: Texts whose shingles are counted for the order, about; shingles of COMMON_LEAST of them are common; so many at most travel.
 ORDER_TEXTS, COMMON_LEAST, COMMON_MOST = 8000, 3, 200_000
 
+FIELDS = "node long, n long, counts binary, " + ", ".join(f"k{i} long" for i in range(SKETCH))
+
 
-def shingles(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED):
+def shingles(text: bytes | None, shingle: int, seed: int = SEED):
     """Sorted distinct hashes."""
     import numpy as np
     import xxhash
@@ -55,6 +59,20 @@ def counts_of(held) -> bytes:
     return np.minimum(np.bincount(held & 255, minlength=256), 255).astype(np.uint8).tobytes()
 
 
+def parity_of(held) -> tuple[int, ...]:
+    """The parity sketch as longs."""
+    import numpy as np
+
+    bits = np.bincount((held >> 8) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return tuple(np.packbits(bits.astype(np.uint8)).view(">i8").tolist())
+
+
+def described(sets) -> tuple:
+    """The columns of FIELDS."""
+    sketches = [parity_of(x) for x in sets]
+    return [node_of(x) for x in sets], [len(x) for x in sets], [counts_of(x) for x in sets], *([k[i] for k in sketches] for i in range(SKETCH))
+
+
 def most_shared(x: bytes, y: bytes) -> float:
     """No two sets with these counts share more."""
     import numpy as np
@@ -76,31 +94,14 @@ def prefix(held, common, t: float):
     return ordered[: len(held) - math.ceil(t * len(held) - 1e-9) + 1]
 
 
-def pairs_of(nodes, places, t: float, max_posting: int | None, roots=None):
-    """Pairs of a posting that can reach t. places: size << 32 | place in the order. roots: only pairs of different ones."""
-    import numpy as np
-
-    by = np.argsort(nodes)
-    nodes, n, at = nodes[by], places[by] >> 32, places[by] & 0xFFFFFFFF
-    firsts = len(nodes) if max_posting is None or len(nodes) <= max_posting else HUBS
-    for i in range(min(firsts, len(nodes) - 1)):
-        m, left = n[i + 1 :], np.minimum(n[i] - at[i], n[i + 1 :] - at[i + 1 :])
-        fits = left + 1e-9 >= t / (1 + t) * (n[i] + m)
-        if roots is not None:
-            fits &= roots[by][i + 1 :] != roots[by][i]
-        for b in nodes[i + 1 :][fits].tolist():
-            yield int(nodes[i]), b
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, t: float, shingle: int) -> DataFrame:
-    """The pairs whose sets reach t. docs: (text, node), sizes: (node, n, counts)"""
+def verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, t: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach t, written. texts: (text, node), a row or more for each node; sizes: (node, n, counts)."""
     of = lambda c, k: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
     counted = pairs.distinct().join(of("a", 1), "a").join(of("b", 2), "b")
     can = annotate(counted, ["n1", "n2", "c1", "c2"], lambda n, m, x, y: ([most_shared(c, d) >= least_overlap(a, b, t) for a, b, c, d in zip(n, m, x, y)],), "can boolean", ["a", "b"])
     pairs = materialise(can.filter("can").select("a", "b"), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "node", "left_semi").select("node", "text")
-    one = texts.groupBy("node").agg(F.min("text").alias("text"))
+    wanted = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    one = texts.select("node", "text").join(maybe_broadcast(wanted), "node", "left_semi").dropDuplicates(["node"])
     sets = materialise(annotate(one, ["text"], lambda ts: ([shingles(x, shingle).tolist() for x in ts],), "held array<long>", ["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
 
@@ -110,64 +111,84 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, t: float, shin
         shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(xs, ys)]
         return ([s >= least_overlap(len(x), len(y), t) for s, x, y in zip(shared, xs, ys)],)
 
-    return materialise(annotate(both, ["x", "y"], near, "near boolean", ["a", "b"]).filter("near").select("a", "b"), "links")
+    links = materialise(annotate(both, ["x", "y"], near, "near boolean", ["a", "b"]).filter("near").select("a", "b"), "links")
+    discard(sets, wanted, pairs)
+    return links
 
 
-def common_shingles(docs: DataFrame, rows: int, shingle: int):
+def common_shingles(texts: DataFrame, rows: int, shingle: int):
     import numpy as np
 
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // ORDER_TEXTS))) == 0)
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // ORDER_TEXTS))) == 0)
     each = emit(some, ["text"], lambda ts: (np.concatenate([np.zeros(0, np.int64), *(shingles(x, shingle) for x in ts)]),), "s long")
     found = each.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "s").limit(COMMON_MOST)
     return np.sort(np.array([r[0] for r in found.collect()], np.int64))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, t: float = SIMILARITY, max_posting: int = MAX_POSTING) -> DataFrame:
-    """(doc_id, component_id), a row for each row of docs; component_id is the smallest id that links reach."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-
-    def sized(texts):
-        sets = [shingles(x, shingle) for x in texts]
-        return list(map(node_of, sets)), list(map(len, sets)), list(map(counts_of, sets))
+def entries_of(texts: DataFrame, sizes: DataFrame, t: float, shingle: int) -> DataFrame:
+    """(s, times, node, place, k0, ...): the prefixes' shingles that two sets or more have. place: size << 32 | place in the order."""
+    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, texts.count(), shingle))
 
-    rows = materialise(annotate(named, ["text"], sized, "node long, n long, counts binary"), "nodes")
-    sizes = materialise(rows.select("node", "n", "counts").distinct(), "sizes")
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, rows.count(), shingle))
-
-    def post(texts, nodes):
+    def post(given, nodes):
         import numpy as np
 
         out = [[np.zeros(0, np.int64)] for _ in range(3)]
-        for x, node in zip(texts, nodes):
+        for x, node in zip(given, nodes):
             have = shingles(x, shingle)
             first = prefix(have, held.value, t) if len(have) else have
             for column, part in zip(out, (first, np.full(len(first), node), (len(have) << 32) + np.arange(len(first)))):
                 column.append(part)
         return tuple(np.concatenate(c) for c in out)
 
-    posts = emit(rows, ["text", "node"], post, "s long, node long, place long")
-    lists = lambda df, *more: df.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("node", "place", *more))).alias("x")).select("s", *(F.col(f"x.{c}").alias(f"{c}s") for c in ("node", "place", *more)))
-    live = materialise(lists(posts).filter(F.size("nodes") > 1).drop("s").withColumn("s", F.monotonically_increasing_id()), "postings")
-
-    def pair(limit):
-        def run(nodes, places, *roots):
-            found = [p for x in zip(nodes, places, *roots) for p in pairs_of(x[0], x[1], t, limit, *x[2:])]
-            return [a for a, _ in found], [b for _, b in found]
-
-        return run
-
-    links = verified(emit(live, ["nodes", "places"], pair(max_posting), "a long, b long"), rows, sizes, t, shingle)
-    groups = materialise(components(links), "roots")
-    long = live.filter(F.size("nodes") > max_posting)
-    if not long.isEmpty():
-        each = long.select("s", F.explode(F.arrays_zip("nodes", "places")).alias("x")).select("s", F.col("x.nodes").alias("node"), F.col("x.places").alias("place"))
-        each = each.join(groups, "node", "left").select("s", "node", "place", F.coalesce("root", "node").alias("root"))
-        open_ = lists(each, "root").filter(F.size(F.array_distinct("roots")) > 1)
-        more = verified(emit(open_, ["nodes", "places", "roots"], pair(None), "a long, b long"), rows, sizes, t, shingle)
-        if not more.isEmpty():
-            groups = materialise(components(links.unionAll(more)), "roots")
-    first = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
-    groups = materialise(groups.join(first, "node"), "groups")
-    least = groups.groupBy("root").agg(F.min("first").alias("least"))
-    ids = first.join(groups.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+    posts = materialise(emit(texts, ["text", "node"], post, "s long, node long, place long"), "posts")
+    live = posts.groupBy("s").agg(F.count("*").alias("times"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("s", "times")
+    sketches = sizes.select("node", *(f"k{i}" for i in range(SKETCH)))
+    entries = materialise(posts.join(live, "s").distinct().join(sketches, "node"), "entries")
+    discard(posts)
+    return entries
+
+
+def can_reach(x: str, y: str, t: float):
+    """Whether two entries of one posting, columns with the suffixes x and y, may be of sets that reach t."""
+    size = lambda e: F.shiftright(f"place{e}", 32)
+    left = lambda e: size(e) - F.col(f"place{e}").bitwiseAND(F.lit(0xFFFFFFFF))
+    shared = F.ceil(F.lit(t / (1 + t)) * (size(x) + size(y)) - 1e-9)
+    apart = sum(F.bit_count(F.col(f"k{i}{x}").bitwiseXOR(F.col(f"k{i}{y}"))) for i in range(SKETCH))
+    return (F.col(f"root{x}") != F.col(f"root{y}")) & (F.least(left(x), left(y)) >= shared) & (apart <= size(x) + size(y) - 2 * shared)
+
+
+def rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    return entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def suffixed(entries: DataFrame, suffix: str, by: tuple[str, ...] = ("s",)) -> DataFrame:
+    return entries.select(*by, *(F.col(c).alias(c + suffix) for c in ("node", "place", "root", *(f"k{i}" for i in range(SKETCH)))))
+
+
+def found(left: DataFrame, right: DataFrame, by: list[str], t: float) -> DataFrame:
+    """(a, b), a < b: pairs of the two sides' entries that may reach t."""
+    return left.join(right, by).filter(can_reach("1", "2", t)).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+
+
+def short_pairs(entries: DataFrame, roots: DataFrame, t: float, max_posting: int) -> DataFrame:
+    """All pairs of short postings, and those of long ones with a hub."""
+    held = rooted(entries, roots)
+    short, long = held.filter(F.col("times") <= max_posting), held.filter(F.col("times") > max_posting)
+    pairs = found(suffixed(short, "1"), suffixed(short, "2"), ["s"], t)
+    entry = lambda k: F.struct(F.xxhash64("node", F.lit(k)).alias("o"), "node", "place", "root", *(f"k{i}" for i in range(SKETCH)))
+    drawn = long.groupBy("s").agg(*(F.min(entry(k)).alias(f"h{k}") for k in range(HUBS)))
+    hubs = drawn.select("s", F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("h")).select("s", "h.*").drop("o")
+    return pairs.unionAll(found(suffixed(long, "1"), suffixed(hubs, "2"), ["s"], t))
+
+
+def long_pairs(entries: DataFrame, roots: DataFrame, t: float, max_posting: int) -> DataFrame:
+    """Pairs of long postings whose sets are still apart."""
+    held = rooted(entries.filter(F.col("times") > max_posting), roots)
+    open_ = held.groupBy("s").agg(F.count("*").alias("many"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    open_ = open_.select("s", F.ceil(F.col("many") / SALT).cast("int").alias("salts"))
+    held = materialise(held.join(open_, "s"), "open")
+    one = held.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    all_ = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    pairs = materialise(found(suffixed(one, "1", ("s", "salt")), suffixed(all_, "2", ("s", "salt")), ["s", "salt"], t).distinct(), "pairs")
+    discard(held)
+    return pairs

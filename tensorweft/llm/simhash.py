@@ -8,20 +8,27 @@ are not cut: their fingerprints are linked exactly, without pairs, through the f
 most two bits apart just if they have such a neighbour, or each other, in common), and each such hub has 65 members at
 most.
 
-Equal fingerprints are one node from the start, so copies never meet as pairs. A fingerprint of a text without words
-(null included) is zero and linked like any other. Repeated rows and ids are rows of one group. A null id is the
-smallest id of no group.
+With a similarity, texts are linked by the Jaccard similarity of their sets of word shingles, exactly: links of the
+fingerprints of these sets come first and are verified by the sets. But sets of similarity 0.8 differ in some 15 % of
+their fingerprints' bits, ten of 64, where no positional byte is guaranteed; so prefixes of the sets (setjoin.py) find
+the pairs that the fingerprints leave apart.
+
+Equal fingerprints (sets) are one node from the start, so copies never meet as pairs. A fingerprint of a text without words
+(null included) is zero and linked like any other; by similarity such texts are one node. Texts of fewer words than a
+shingle are one shingle. Texts are read whole, in slices. Repeated rows and ids are rows of one group. A null id is the
+smallest id of no group. No rows give no rows. Columns beyond id and text are not read (near_duplicates) or stay (keep_one).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from itertools import combinations, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorweft.llm.common import annotate, materialise
+from tensorweft.llm import setjoin
+from tensorweft.llm.common import annotate, discard, materialise
 from tensorweft.llm.components import components
 
 SEED = 42
@@ -96,24 +103,71 @@ def links(fps: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
     return pairs.unionAll(starred)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_posting: int = MAX_POSTING) -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row of docs; component_id is the smallest id that links reach."""
+def grouped(rows: DataFrame, first: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """rows with component_id: the smallest id (first, of each node) that links between nodes reach."""
+    groups = materialise(components(links).withColumnRenamed("node", node).join(first, node), "groups")
+    least = groups.groupBy("root").agg(F.min("first").alias("least"))
+    ids = first.join(groups.join(least, "root").select(node, "least"), node, "left").select(node, F.coalesce("least", "first").alias("component_id"))
+    return rows.join(ids, node)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_posting: int = MAX_POSTING, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id), a row for each row of docs; component_id is the smallest id that links reach.
+
+    similarity: link texts of this Jaccard similarity instead of fingerprints at most MAX_BITS apart; fp is then that of the set.
+    """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = materialise(fingerprints(named, keep=["doc_id"]), "fingerprints")
+    if similarity is not None:
+        return near_by_similarity(named, max_posting, shingle, similarity)
+    rows = materialise(fingerprints(named, keep=["doc_id"], shingle=shingle), "fingerprints")
     first = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    groups = components(links(first.select("fp"), max_posting)).withColumnRenamed("node", "fp")
-    groups = materialise(groups.join(first, "fp"), "groups")
-    least = groups.groupBy("root").agg(F.min("first").alias("least"))
-    ids = first.join(groups.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return grouped(rows, first, links(first.select("fp"), max_posting), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+def set_fingerprint(held) -> int:
+    """The fingerprint of a set of hashes, as a long."""
+    import numpy as np
+
+    if not len(held):
+        return 0
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(held), 1 << 15):
+        count += np.unpackbits(held[i : i + (1 << 15)].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(held)).tobytes(), "big", signed=True)
+
+
+def near_by_similarity(named: DataFrame, max_posting: int, shingle: int, t: float) -> DataFrame:
+    def read(texts):
+        sets = [setjoin.shingles(x, shingle) for x in texts]
+        return *setjoin.described(sets), [set_fingerprint(x) for x in sets]
+
+    rows = materialise(annotate(named, ["text"], read, f"{setjoin.FIELDS}, fp long"), "nodes")
+    sizes = materialise(rows.groupBy(*(c for c in rows.columns if c not in ("doc_id", "text"))).agg(F.min("doc_id").alias("first")), "sizes")
+    # 1. fingerprints of a few bits' distance; one set stands for all of a fingerprint
+    by_fp = materialise(sizes.groupBy("fp").agg(F.min("node").alias("a")), "fingerprints")
+    same = sizes.join(by_fp, "fp").filter("node <> a").select("a", F.col("node").alias("b"))
+    close = links(by_fp.select("fp"), max_posting).withColumnsRenamed({"a": "fp1", "b": "fp2"})
+    of = lambda fp, c: by_fp.select(F.col("fp").alias(fp), F.col("a").alias(c))
+    near = close.join(of("fp1", "x"), "fp1").join(of("fp2", "y"), "fp2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    check = lambda pairs: setjoin.verified(pairs, rows, sizes, t, shingle)
+    sure = check(same.unionAll(near))
+    roots = lambda: materialise(components(sure), "roots")
+    # 2. prefixes of the sets, for what these leave apart
+    entries = setjoin.entries_of(rows, sizes, t, shingle)
+    sure = sure.unionAll(check(setjoin.short_pairs(entries, roots(), t, max_posting)))
+    if not entries.filter(F.col("times") > max_posting).isEmpty():
+        sure = sure.unionAll(check(setjoin.long_pairs(entries, roots(), t, max_posting)))
+    discard(entries)
+    first = sizes.select("node", "first")
+    return grouped(rows.select("doc_id", "node", "fp"), first, sure, "node").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of docs with the smallest id of each near-duplicate group.
 
     Of equal rows under one id one stays; different texts under one id both stay, as do rows without an id.
     """
-    found = groups(docs, doc_id, text)
+    found = near_duplicates(docs, doc_id, text, shingle=shingle, similarity=similarity)
     kept = materialise(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     ids = kept.select(F.col("doc_id").alias(doc_id))
     held = docs.join(ids.hint("shuffle_hash"), doc_id, "left_semi").select(docs.columns)

@@ -7,15 +7,24 @@ import pytest
 import zstandard
 
 import corpus_pipeline
-from tensorweft.llm import quality, setjoin, simhash
+from tensorweft.llm import quality, simhash
 from tensorweft.llm.common import table
 
 from .test_counts import ITEMS, plain_counts, plain_hits
-from .test_duplicates import plain_fingerprint, plain_groups, roots
+from .test_duplicates import roots
 from .conftest import DOCS, words
 from .test_pii import plain
 
 
+def similar_groups(texts, ids):
+    """Smallest id of each text's group: all pairs of texts, sets of five-word runs, similarity 0.8."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    root = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if near(sets[i], sets[j])])
+    return [min((ids[j] for j, r in enumerate(root) if r == x and ids[j] is not None), default=None) for x in root]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, docs, tmp_path_factory):
     d = f"file://{tmp_path_factory.mktemp('tables')}"
@@ -37,7 +46,7 @@ def test_stages(spark, folder):
             want = [r for r in before if counts[r][0] >= 50 and 2 * counts[r][4] <= counts[r][0] and quality.compression(r[1].encode(), z)[0]]
             assert sorted(map(str, after)) == sorted(map(str, want))
         elif name == "near_duplicates":
-            groups = plain_groups([plain_fingerprint(r[1]) for r in before], [r[0] for r in before])
+            groups = similar_groups([r[1] for r in before], [r[0] for r in before])
             want = {str(r) for r, g in zip(before, groups) if r[0] is None or r[0] == g}
             assert sorted(map(str, after)) == sorted(want)
         elif name == "decontamination":
@@ -76,13 +85,29 @@ def test_near_copies_by_similarity(spark):
                 base[r.randrange(len(base))] = f"w{r.randrange(10**6)}"
             texts.append(" ".join(base))
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS).repartition(3)
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    root = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
-    least = {g: min(i for i, x in enumerate(root) if x == g) for g in set(root)}
+    groups = similar_groups(texts, list(range(len(texts))))
+    least = set(groups)
     assert 12 <= len(least) < len(texts) - 12
     for most in (1, 64):
-        got = {x.doc_id: x.component_id for x in setjoin.near_duplicates(docs, max_posting=most).collect()}
-        assert got == {i: least[g] for i, g in enumerate(root)}
+        got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, max_posting=most, shingle=5, similarity=0.8).collect()}
+        assert got == dict(enumerate(groups))
     # copies that op2's two bits keep apart don't pass the stage
     kept = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
-    assert sorted(kept) == sorted(least.values()) and simhash.keep_one(docs).count() > len(kept)
+    assert sorted(kept) == sorted(least) and simhash.keep_one(docs).count() > len(kept)
+
+
+def test_bounds_lose_no_pair():
+    """The parity sketch and the counts by bucket let every pair of similar sets pass."""
+    import numpy as np
+
+    from tensorweft.llm import setjoin
+
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(r.integers(2, 900))
+        x = np.unique(r.integers(-(1 << 62), 1 << 62, n))
+        y = np.unique(np.concatenate([x[: len(x) - int(r.integers(0, max(1, len(x) // 8)))], r.integers(-(1 << 62), 1 << 62, int(r.integers(0, 1 + n // 10)))]))
+        shared = len(np.intersect1d(x, y))
+        apart = sum(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in zip(setjoin.parity_of(x), setjoin.parity_of(y)))
+        assert apart <= len(x) + len(y) - 2 * shared
+        assert setjoin.most_shared(setjoin.counts_of(x), setjoin.counts_of(y)) >= shared
