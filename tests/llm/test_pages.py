@@ -1,5 +1,6 @@
 """Main text and url verdicts."""
 
+import json
 import random
 
 import pytest
@@ -15,7 +16,7 @@ PAGE = """<!DOCTYPE html><html><head><title>Site</title><style>p{}</style><scrip
 
 
 def test_article():
-    text, _ = htmlwrap.main_text(PAGE, None)
+    text = htmlwrap.main_text(PAGE, None)[0]
     assert text == "Title & more\nFirst bold , line one.\nSecond!\nafter\nitem one\nitem two".replace("bold ,", "bold,")
 
 
@@ -37,20 +38,97 @@ def test_wrappers(spark):
     assert all("Same line" not in out[i].text and out[i].text.startswith(f"t{i}\n") for i in range(12))
     # two pages are too few to tell a template by its text
     assert "Same line" in out[12].text
+    assert all(out[i].n_decided == 1 for i in range(12))
     assert out[14].text == "x" and out[15].text == "" and out[16].text == "" and all(r.n_chars == len(r.text) for r in out.values())
     assert sum(out[i].wrapped for i in range(12)) >= 8
 
 
+def form(items):
+    """An expression as text: elements by their labels, # a free slot, = a string that stays."""
+    name = {htmlwrap.SLOT: "#", htmlwrap.STRING: "="}
+    one = lambda x: (name.get(x[0]) or (f"({form(x[4])})" if x[0] == htmlwrap.GROUP else f"{x[3]}<{form(x[4])}>")) + "+" * x[2] + "?" * x[1]
+    return " ".join(map(one, items))
+
+
+def inferred(*htmls):
+    return json.loads(htmlwrap.infer([htmlwrap.sample_of(h) for h in htmls]))
+
+
 def test_expressions():
-    li = ["<li", "#", "</li"]
-    assert htmlwrap.fold(["<ul", *li, *li, *li, "</ul"]) == ["<ul", ("+", tuple(li)), "</ul"]
-    wrapper = htmlwrap.align(["<a", "<b", "</a"], ["<a", "</a"])
-    assert wrapper == ["<a", ("?", ("<b",)), "</a"]
-    both = htmlwrap.compiled(htmlwrap.align(wrapper, ["<a", "<c", "</a"]))
-    fits = lambda *tokens: both.slots_of(tokens) is not None
-    slots = htmlwrap.compiled(["#", ("+", ("<li", "#")), ("?", ("#",))]).slots_of(["#", "<li", "#", "<li", "#", "#"])
-    assert slots == [0, 1, 1, 2]
-    assert fits("<a", "</a") and fits("<a", "<b", "</a") and fits("<a", "<c", "</a") and not fits("<a", "<d", "</a")
+    assert form(inferred("<ul><li>a<li>b<li>c</ul>")[0]) == "ul<li<#>+>"
+    assert form(inferred("<h2>a</h2><p>b<p>c<h2>d</h2><p>e")[0]) == "(h2<#> p<#>+)+"
+    assert form(inferred("<h1>t</h1><p>a", "<h1>t</h1><div>x</div><p>b")[0]) == "h1<=> div<=>? p<#>"
+    assert form(inferred("<p>a", "<div>a</div>")[0]) in ("p<=>? div<=>?", "div<=>? p<=>?")
+    assert form(inferred("x<br>y", "x")[0]) == "#+"
+    r = random.Random(2)
+    tags = [r.choice(["h2", "pre", "p", "div"]) for _ in range(4000)]
+    assert sorted(form(inferred("".join(f"<{x}>{k}</{x}>" for k, x in enumerate(tags)))[0])[1:-2].split(" ")) == ["div<#>+?", "h2<#>+?", "p<#>+?", "pre<#>+?"]
+
+
+def random_page(r, depth=0):
+    out = []
+    for _ in range(r.randint(0, 5)):
+        tag = r.choice(["div", "p", "h2", "ul", "section", "blockquote"])
+        out.append(r.choice(["text ", "more &amp; ", f"w{r.randrange(9)} "]) if r.random() < 0.3 or depth > 3 else f"<{tag} class='c{r.randrange(3)}'>{random_page(r, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_every_sampled_page_matches():
+    r = random.Random(11)
+    for _ in range(150):
+        htmls = [random_page(r) for _ in range(r.randint(1, 6))]
+        wrapper = htmlwrap.Wrapper(*inferred(*htmls))
+        for h in htmls:
+            slots, whole = wrapper.read(page := htmlwrap.Page(h))
+            assert whole and len(slots) == len(page.blocks)
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert htmlwrap.main_text(deep, htmlwrap.Wrapper(*inferred(deep))) == ("x", True, 0)
+    long = "<article>" + "".join(f"<p>word{i}</p>" + "<hr><h3>x</h3>" * (i % 13 == 0) for i in range(30_000)) + "</article>"
+    text, whole, _ = htmlwrap.main_text(long, htmlwrap.Wrapper(*inferred(long)))
+    assert whole and text.count("\n") + 1 == 30_000 + 2308
+
+
+def hashed_site(n, seed):
+    """Pages whose classes say nothing, and their main texts: menu, box and related links are told by the wrapper alone."""
+    r = random.Random(seed)
+    some = lambda k: " ".join("".join(r.choices("abcdefghijk", k=r.randint(2, 8))) for _ in range(k))
+    link = lambda: f'<li><a href="/{r.randrange(999)}">{some(2)}</a></li>'
+    out = []
+    for i in range(n):
+        blocks = [some(6)] + [some(r.randint(8, 40)) for _ in range(r.randint(2, 7))]
+        inside = "".join(f"<p>{b}</p>" for b in blocks[1:])
+        box = '<div class="x7f3"><h3>Stay in touch</h3><p>Get our letter every week.</p></div>'
+        more = f"<ul class='q9'>{''.join(link() for _ in range(r.randint(2, 5)))}</ul>"
+        html = f'<html><body><div class="a1b2"><ul>{"".join(link() for _ in range(5))}</ul></div><article class="zz{i}"><h1>{blocks[0]}</h1>{inside}{box}{more}</article><div class="k0">All rights reserved</div></body></html>'
+        out.append((f"http://hashed{seed}.example.com/{i}", html, "\n".join(blocks)))
+    return out
+
+
+def test_wrappers_decide(spark):
+    """Without the wrapper no such page is right; with it all are, whether wrappers are broadcast or travel as rows."""
+    site = hashed_site(30, 1) + hashed_site(8, 2)
+    copies = [(u + "?copy", h, t) for u, h, t in site[:1] * 40]
+    rows = [(i, u, h, "own", 1) for i, (u, h, _) in enumerate(site + copies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string, host int").repartition(4)
+    want = {i: t for i, (_, _, t) in enumerate(site + copies)}
+    assert not any(htmlwrap.main_text(h, None)[0] == t for _, h, t in site)
+    for limit in (1 << 25, 0):
+        out = htmlwrap.extract(df, broadcast_bytes=limit)
+        assert out.columns == ["page_id", "url", "text", "n_chars", "wrapped", "n_decided"]
+        got = out.collect()
+        assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+        assert all(r.wrapped and r.n_decided >= 4 for r in got)
+
+
+def test_repeated_paragraphs_are_no_template(spark):
+    """A paragraph that most pages share is the article's where it stands in a repeated group."""
+    r = random.Random(4)
+    rows = [(i, f"http://a.b/{i}", "<article><h1>t%d</h1>%s</article>" % (i, "".join(f"<p>{x}</p>" for x in r.sample(["same line", f"own {i}", f"other {i}"], 3)))) for i in range(20)]
+    got = htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("same line" in x.text and x.text.count("\n") == 3 for x in got)
 
 
 def test_no_pages(spark):
