@@ -22,17 +22,22 @@ from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tensorweft.llm.common import annotate, discard, emit, materialise, maybe_broadcast
 
 SEED = 42
 HUBS = 4
 SALT = 1000
+#: Shingles before its own that an entry knows.
+BEFORE = 8
 #: Longs of a parity sketch.
 SKETCH = 4
 #: Texts whose shingles are counted for the order, about; shingles of COMMON_LEAST of them are common; so many at most travel.
 ORDER_TEXTS, COMMON_LEAST, COMMON_MOST = 8000, 3, 200_000
 
+#: What an entry of a posting says of its set.
+COLUMNS = ("node", "place", "before", *(f"k{i}" for i in range(SKETCH)))
 FIELDS = "node long, n long, counts binary, " + ", ".join(f"k{i} long" for i in range(SKETCH))
 
 
@@ -126,7 +131,11 @@ def common_shingles(texts: DataFrame, rows: int, shingle: int):
 
 
 def entries_of(texts: DataFrame, sizes: DataFrame, t: float, shingle: int) -> DataFrame:
-    """(s, times, node, place, k0, ...): the prefixes' shingles that two sets or more have. place: size << 32 | place in the order."""
+    """(s, times, node, place, before, k0, ...): the prefixes' shingles that two sets or more have.
+
+    place: size << 32 | place in the order. before: up to BEFORE shingles of the kind that the set has before s. A pair
+    whose entries both know a shingle before theirs meets, or met, there.
+    """
     held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, texts.count(), shingle))
 
     def post(given, nodes):
@@ -143,18 +152,25 @@ def entries_of(texts: DataFrame, sizes: DataFrame, t: float, shingle: int) -> Da
     posts = materialise(emit(texts, ["text", "node"], post, "s long, node long, place long"), "posts")
     live = posts.groupBy("s").agg(F.count("*").alias("times"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("s", "times")
     sketches = sizes.select("node", *(f"k{i}" for i in range(SKETCH)))
-    entries = materialise(posts.join(live, "s").distinct().join(sketches, "node"), "entries")
+    earlier = Window.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1)
+    shared = posts.join(live, "s").distinct().withColumn("before", F.collect_list("s").over(earlier))
+    entries = materialise(shared.join(sketches, "node"), "entries")
     discard(posts)
     return entries
 
 
-def can_reach(x: str, y: str, t: float):
-    """Whether two entries of one posting, columns with the suffixes x and y, may be of sets that reach t."""
+def can_reach(x: str, y: str, t: float, once: bool):
+    """Whether two entries of one posting, columns with the suffixes x and y, may be of sets that reach t.
+
+    once: all pairs of the postings meet, so let one do so a single time, in one order.
+    """
     size = lambda e: F.shiftright(f"place{e}", 32)
     left = lambda e: size(e) - F.col(f"place{e}").bitwiseAND(F.lit(0xFFFFFFFF))
     shared = F.ceil(F.lit(t / (1 + t)) * (size(x) + size(y)) - 1e-9)
     apart = sum(F.bit_count(F.col(f"k{i}{x}").bitwiseXOR(F.col(f"k{i}{y}"))) for i in range(SKETCH))
-    return (F.col(f"root{x}") != F.col(f"root{y}")) & (F.least(left(x), left(y)) >= shared) & (apart <= size(x) + size(y) - 2 * shared)
+    able = (F.least(left(x), left(y)) >= shared) & (apart <= size(x) + size(y) - 2 * shared)
+    able = (F.col(f"root{x}") != F.col(f"root{y}")) & able
+    return (F.col(f"node{x}") < F.col(f"node{y}")) & able & ~F.arrays_overlap(f"before{x}", f"before{y}") if once else able
 
 
 def rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -162,23 +178,27 @@ def rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def suffixed(entries: DataFrame, suffix: str, by: tuple[str, ...] = ("s",)) -> DataFrame:
-    return entries.select(*by, *(F.col(c).alias(c + suffix) for c in ("node", "place", "root", *(f"k{i}" for i in range(SKETCH)))))
+    return entries.select(*by, *(F.col(c).alias(c + suffix) for c in (*COLUMNS, "root")))
 
 
-def found(left: DataFrame, right: DataFrame, by: list[str], t: float) -> DataFrame:
+def found(left: DataFrame, right: DataFrame, by: list[str], t: float, once: bool = True) -> DataFrame:
     """(a, b), a < b: pairs of the two sides' entries that may reach t."""
-    return left.join(right, by).filter(can_reach("1", "2", t)).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+    return left.join(right, by).filter(can_reach("1", "2", t, once)).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
 
 def short_pairs(entries: DataFrame, roots: DataFrame, t: float, max_posting: int) -> DataFrame:
-    """All pairs of short postings, and those of long ones with a hub."""
-    held = rooted(entries, roots)
-    short, long = held.filter(F.col("times") <= max_posting), held.filter(F.col("times") > max_posting)
-    pairs = found(suffixed(short, "1"), suffixed(short, "2"), ["s"], t)
-    entry = lambda k: F.struct(F.xxhash64("node", F.lit(k)).alias("o"), "node", "place", "root", *(f"k{i}" for i in range(SKETCH)))
-    drawn = long.groupBy("s").agg(*(F.min(entry(k)).alias(f"h{k}") for k in range(HUBS)))
-    hubs = drawn.select("s", F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("h")).select("s", "h.*").drop("o")
-    return pairs.unionAll(found(suffixed(long, "1"), suffixed(hubs, "2"), ["s"], t))
+    """All pairs of short postings."""
+    short = rooted(entries.filter(F.col("times") <= max_posting), roots)
+    return found(suffixed(short, "1"), suffixed(short, "2"), ["s"], t)
+
+
+def hub_pairs(entries: DataFrame, roots: DataFrame, t: float, max_posting: int) -> DataFrame:
+    """Pairs of long postings whose one side is a hub: HUBS of its sets, drawn for every posting."""
+    long = rooted(entries.filter(F.col("times") > max_posting), roots)
+    entry = lambda k: F.struct(F.xxhash64("s", "node", F.lit(k)).alias("o"), *COLUMNS, "root")
+    drawn = long.groupBy("s").agg(*(F.min(entry(k)).alias(f"h{k}") for k in range(HUBS)), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    hubs = drawn.select("s", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"h{k}.{c}").alias(c) for c in (*COLUMNS, "root"))) for k in range(HUBS))))).alias("h")).select("s", "h.*")
+    return found(suffixed(long, "1"), suffixed(hubs, "2"), ["s"], t, once=False)
 
 
 def long_pairs(entries: DataFrame, roots: DataFrame, t: float, max_posting: int) -> DataFrame:
@@ -189,6 +209,6 @@ def long_pairs(entries: DataFrame, roots: DataFrame, t: float, max_posting: int)
     held = materialise(held.join(open_, "s"), "open")
     one = held.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     all_ = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    pairs = materialise(found(suffixed(one, "1", ("s", "salt")), suffixed(all_, "2", ("s", "salt")), ["s", "salt"], t).distinct(), "pairs")
+    pairs = materialise(found(suffixed(one, "1", ("s", "salt")), suffixed(all_, "2", ("s", "salt")), ["s", "salt"], t), "pairs")
     discard(held)
     return pairs

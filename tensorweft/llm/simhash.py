@@ -154,8 +154,12 @@ def near_by_similarity(named: DataFrame, max_posting: int, shingle: int, t: floa
     roots = lambda: materialise(components(sure), "roots")
     # 2. prefixes of the sets, for what these leave apart
     entries = setjoin.entries_of(rows, sizes, t, shingle)
-    sure = sure.unionAll(check(setjoin.short_pairs(entries, roots(), t, max_posting)))
-    if not entries.filter(F.col("times") > max_posting).isEmpty():
+    has_long = not entries.filter(F.col("times") > max_posting).isEmpty()
+    pairs = setjoin.short_pairs(entries, known := roots(), t, max_posting)
+    if has_long:
+        pairs = pairs.unionAll(setjoin.hub_pairs(entries, known, t, max_posting))
+    sure = sure.unionAll(check(pairs))
+    if has_long:
         sure = sure.unionAll(check(setjoin.long_pairs(entries, roots(), t, max_posting)))
     discard(entries)
     first = sizes.select("node", "first")
