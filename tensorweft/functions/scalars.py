@@ -107,21 +107,73 @@ def random_composition(n: int, parts: int, seed: int = 0) -> list[int]:
     return [b - a for a, b in zip([0, *cuts], [*cuts, n])]
 
 
-def cluster_points(values: Sequence[float], gap: float) -> list[list[float]]:
-    """Sorted points in clusters whose neighbours are at most `gap` apart."""
-    out: list[list[float]] = []
-    for x in sorted(values):
-        if out and x - out[-1][-1] <= gap:
-            out[-1].append(x)
-        else:
-            out.append([x])
+def cluster_points(values: Sequence[float], tolerance: float) -> list[list[float]]:
+    """Points, in their order, in classes of close ones.
+
+    A class starts with the first point that none has yet and takes, one after the other, the later ones whose mean
+    distance from its points so far is below tolerance x the width of all points / their number.
+    """
+    limit = tolerance * (max(values) - min(values)) / len(values) if values else 0.0
+    out, rest = [], list(values)
+    while rest:
+        group, left = [rest[0]], []
+        for x in rest[1:]:
+            (group if sum(abs(x - y) for y in group) / len(group) < limit else left).append(x)
+        out.append(group)
+        rest = left
     return out
 
 
-def clusters(df, value: str, gap: float, by: Sequence[str] = ()):
-    """The same for a column: df with cluster, a number from 0 within `by`. `by` should keep groups to a task's size."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*by).orderBy(value)
-    starts = F.coalesce((F.col(value) - F.lag(value).over(w) > gap).cast("int"), F.lit(0))
-    return df.withColumn("_new", starts).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
+def clusters(df, value: str, tolerance: float):
+    """df with cluster (numbered from 0) and cluster_mean, as cluster_points has them of the sorted values; null and NaN have none.
+
+    Among sorted points the mean distance is that from the mean, and a class once left is never met again.
+
+    The scan is one of sorted distinct values. Where two neighbours are further apart than the limit a class ends
+    whatever came before, so range partitions are cut at such gaps and scanned on their own, each as a stream.
+    """
+    from pyspark.sql import Window
+
+    spark, x = df.sparkSession, F.col(value).cast("double")
+    points = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("x").agg(F.count("*").alias("times"))
+    n, low, high = points.agg(F.sum("times"), F.min("x"), F.max("x")).first()
+    limit = tolerance * (high - low) / n if n else 0.0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.repartitionByRange(parts, "x").sortWithinPartitions("x")
+
+    def first_gap(frames):
+        last, found = None, None
+        for frame in frames:
+            for p in frame["x"].tolist() if found is None else ():
+                if last is not None and p - last >= limit:
+                    found = p
+                    break
+                last = p
+        if found is not None:
+            import pandas as pd
+
+            yield pd.DataFrame({"x": [found]})
+
+    cuts = sorted(r[0] for r in dealt.select("x").mapInPandas(first_gap, "x double").collect())  # one a partition at most
+    run = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("x")))
+    runs = points.withColumn("run", run).repartition(parts, "run").sortWithinPartitions("run", "x")
+
+    def scan(frames):
+        now, total, held, number = None, 0.0, 0, 0
+        for frame in frames:
+            numbers = []
+            for r, p, times in zip(frame["run"].tolist(), frame["x"].tolist(), frame["times"].tolist()):
+                if r != now:
+                    now, total, held, number = r, 0.0, 0, -1
+                if not held or p - total / held >= limit:
+                    total, held, number = 0.0, 0, number + 1
+                total, held = total + p * times, held + times
+                numbers.append(number)
+            yield frame.assign(number=numbers)
+
+    known = runs.mapInPandas(scan, "x double, times long, run int, number long")
+    sizes = known.groupBy("run").agg((F.max("number") + 1).alias("many"))  # a row a run, at most one a partition and cut
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("many").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = known.join(offsets, "run").select("x", "times", (F.col("before") + F.col("number")).alias("cluster"))
+    means = numbered.groupBy("cluster").agg((F.sum(F.col("x") * F.col("times")) / F.sum("times")).alias("cluster_mean"))
+    return df.withColumn("_x", x).join(numbered.join(means, "cluster").select(F.col("x").alias("_x"), "cluster", "cluster_mean"), "_x", "left").drop("_x")

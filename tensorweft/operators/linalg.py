@@ -1,12 +1,14 @@
 """Singular value decompositions of tensors: D(a,b,...) = L(..,k,..) S(k) R(k,..).
 
 The pattern's labels that only the factors have are the inner ones; the destination's labels of L make the rows of a
-matrix and those of R its columns. Of the matrix only what has the size of its smaller side meets anywhere: the Gram
-matrix of that side, as an ordinary contraction on the executors, is decomposed on the driver if its extent is at most
-GRAM; the other factor is one more contraction. Tensors whose smaller side is longer are refused.
-
-Signs and phases are free, as in any such decomposition; products of the factors aren't. Values below TINY of the
-largest are taken for zero, and so is what goes with them.
+matrix and those of R its columns. The matrix, taller side down, is cut into blocks of rows; each block's triangular
+factor stands for it, triangular factors are stacked and factorised again, FAN at a time, until one is left (a tree of QR
+factorisations, which keeps the precision that squaring the matrix would halve). That factor, of the size of the smaller
+side, is decomposed on the driver; the long side's vectors are one more contraction. The smaller side has SIDE elements
+at most.
+
+Signs and phases are free, as in any such decomposition; products of the factors aren't. Values below the rounding errors
+of the largest (its product with the longer extent and the machine's epsilon) are zero, and so is what goes with them.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from pyspark.sql import functions as F
 
 from tensorweft.operators.algebra import contract
 from tensorweft.operators.elementwise import fold, permute, unfold
-from tensorweft.operators.tensor import Tensor, TensorError, as_complex, c
+from tensorweft.operators.tensor import Tensor, TensorError, as_complex, c, settled
 from tensorweft.plans import pattern as P
 
-#: Longest smaller side: its Gram matrix comes to the driver as 4 million rows at most, 100 MB (complex: 135 MB) of Arrow data.
-GRAM = 2048
-TINY = 1e-7
+#: Longest smaller side: a triangular factor of 4096 x 4096 is 128 MB (complex: 256 MB).
+SIDE = 4096
+#: Elements of a block of rows, or rows as many as columns; factors that are stacked at a time.
+BLOCK, FAN = 1 << 20, 8
 
 
 def _sides(p: P.Pattern | str) -> tuple[P.Pattern, list[str], list[str], list[str]]:
@@ -50,6 +53,42 @@ def _matrix(t: Tensor, rows: list[str], columns: list[str]) -> Tensor:
     return permute(t, ["_i", "_j"])
 
 
+def triangular(a: Tensor, wide: bool, long: int, short: int):
+    """The triangular factor R of A = Q R, or of A^H = Q R if the matrix A(_i,_j) is wide: short x short, as an array."""
+    import numpy as np
+
+    down, across = ("_j", "_i") if wide else ("_i", "_j")
+    height, whole = max(short, BLOCK // max(1, short)), a.complex
+    kind = np.complex128 if whole else np.float64
+    blocks = -(-long // height)
+    parts = [F.col(x).cast("double").alias(x) for x in (("re", "im") if whole else ("v",))]
+    rows = settled(a).df.select(F.floor(c(down) / height).cast("long").alias("block"), F.pmod(c(down), F.lit(height)).alias("x"), c(across).alias("y"), *parts)
+
+    def factor(m) -> bytes:
+        r = np.linalg.qr(m, mode="r")
+        return np.vstack([r, np.zeros((short - len(r), short), kind)]).astype(kind).tobytes() if len(r) < short else r.astype(kind).tobytes()
+
+    def first(frame):
+        import pandas as pd
+
+        m = np.zeros((height, short), kind)
+        m[frame["x"], frame["y"]] = frame["re"] + (-1j if wide else 1j) * frame["im"] if whole else frame["v"]
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "r": [factor(m[m.any(axis=1)])]})
+
+    def more(frame):
+        import pandas as pd
+
+        m = np.vstack([np.frombuffer(x, kind).reshape(short, short) for x in frame["r"]])
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0]) // FAN], "r": [factor(m)]})
+
+    factors = rows.groupBy("block").applyInPandas(first, "block long, r binary")
+    while blocks > 1:
+        factors = factors.groupBy(F.floor(F.col("block") / FAN)).applyInPandas(more, "block long, r binary")
+        blocks = -(-blocks // FAN)
+    found = factors.collect()
+    return np.frombuffer(found[0]["r"], kind).reshape(short, short).copy() if found else np.zeros((short, short), kind)
+
+
 def svd(p: P.Pattern | str, t: Tensor, k: int | None = None, inner_extents: tuple[int, ...] | None = None, absorb: str = "none") -> tuple[Tensor, Tensor, Tensor]:
     """(L, S, R) under the pattern's labels; S has the inner labels. k: how many values stay (default all).
 
@@ -62,8 +101,8 @@ def svd(p: P.Pattern | str, t: Tensor, k: int | None = None, inner_extents: tupl
     t = t.relabel(p.dest.labels)
     m, n = prod(t.known()[t.dims.index(x)] for x in rows), prod(t.known()[t.dims.index(x)] for x in columns)
     small = min(m, n)
-    if small > GRAM:
-        raise TensorError(f"the smaller side has {small} elements, more than {GRAM}")
+    if small > SIDE:
+        raise TensorError(f"the smaller side has {small} elements, more than {SIDE}")
     k = small if k is None else min(k, small)
     if inner_extents is None:
         inner_extents = (k,) if len(inner) == 1 else None
@@ -71,15 +110,11 @@ def svd(p: P.Pattern | str, t: Tensor, k: int | None = None, inner_extents: tupl
         raise TensorError(f"extents of {inner} with a product of {k} are needed")
     spark, whole = t.df.sparkSession, t.complex
     a = _matrix(t, rows, columns)
-    wide = m <= n  # then the Gram matrix is that of the rows
-    gram = contract("G(x,y)+=L(x,z)*R+(y,z)" if wide else "G(x,y)+=L+(z,x)*R(z,y)", a, a).to_numpy()
-    values, vectors = np.linalg.eigh((gram + gram.conj().T) / 2)
-    order = np.argsort(-values, kind="stable")[:k]
-    s = np.sqrt(np.maximum(values[order], 0.0))
-    vectors = vectors[:, order]
-    live = s > TINY * (s[0] if len(s) and s[0] > 0 else 1.0)
-    s = np.where(live, s, 0.0)
-    vectors = vectors * live
+    wide = m <= n
+    _, values, turned = np.linalg.svd(triangular(a, wide, max(m, n), small))
+    s, vectors = values[:k], turned.conj().T[:, :k]
+    live = s > np.finfo(float).eps * max(m, n) * (s[0] if len(s) else 0.0)
+    s, vectors = np.where(live, s, 0.0), vectors * live
     inverse = np.where(live, 1.0 / np.where(live, s, 1.0), 0.0)
     own = Tensor.from_numpy(spark, vectors, ("_i" if wide else "_j", "_k"), "L")
     own = as_complex(own) if whole else own
@@ -135,26 +170,35 @@ def orthogonalise(p: P.Pattern | str, t: Tensor) -> Tensor:
     return contract(p, left, right)
 
 
-def gram_schmidt(p: P.Pattern | str, t: Tensor) -> Tensor:
+def gram_schmidt(p: P.Pattern | str, t: Tensor, tiny: float = 1e-12) -> Tensor:
     """The columns of the matrix (labels of R) made orthonormal one after the other, first fastest, in t's own shape.
 
-    By the Cholesky factor of their Gram matrix, which gives the same columns; they must be independent.
+    A column of which less than `tiny` of its norm is left once the ones before are taken out depends on them: it becomes
+    zero and is left out of what follows.
     """
     import numpy as np
 
     p, rows, columns, _ = _sides(p)
     t = t.relabel(p.dest.labels)
     extent = dict(zip(t.dims, t.known()))
-    if not rows or not columns or prod(extent[x] for x in columns) > GRAM:
-        raise TensorError(f"labels on both sides and {GRAM} columns at most are needed")
+    n = prod(extent[x] for x in columns)
+    if not rows or not columns or n > SIDE:
+        raise TensorError(f"labels on both sides and {SIDE} columns at most are needed")
     a = _matrix(t, rows, columns)
-    gram = contract("G(x,y)+=L+(z,x)*R(z,y)", a, a).to_numpy()
-    try:
-        factor = np.linalg.cholesky((gram + gram.conj().T) / 2).conj().T
-    except np.linalg.LinAlgError as e:
-        raise TensorError("the columns aren't independent") from e
-    inverse = Tensor.from_numpy(t.df.sparkSession, np.linalg.inv(factor), ("_j", "_q"))
-    made = contract("D(i,q)+=A(i,j)*B(j,q)", a, as_complex(inverse) if t.complex else inverse).relabel(["_i", "_j"])
+    # the triangular factor's columns have the products of the matrix's own, so what makes the ones orthonormal makes the others
+    made_of, r = np.eye(n, dtype=complex if t.complex else float), triangular(a, False, prod(extent[x] for x in rows), n)
+    norms = np.linalg.norm(r, axis=0)
+    for j in range(n):
+        for _ in range(2):
+            shares = r[:, :j].conj().T @ r[:, j]
+            r[:, j] -= r[:, :j] @ shares
+            made_of[:, j] -= made_of[:, :j] @ shares
+        left = np.linalg.norm(r[:, j])
+        scale = 1 / left if left > tiny * norms[j] and left > 0 else 0.0
+        r[:, j] *= scale
+        made_of[:, j] *= scale
+    turn = Tensor.from_numpy(t.df.sparkSession, made_of, ("_j", "_q"))
+    made = contract("D(i,q)+=A(i,j)*B(j,q)", a, as_complex(turn) if t.complex else turn).relabel(["_i", "_j"])
     for side, names in (("_i", rows), ("_j", columns)):
         made = unfold(made, side, names, [extent[x] for x in names]) if len(names) > 1 else made.relabel([names[0] if d == side else d for d in made.dims])
     return permute(made, list(p.dest.labels)).named(t.name)

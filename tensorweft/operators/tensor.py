@@ -120,7 +120,8 @@ class Tensor:
         if len(values) != len(names):
             values = (*values, 0.0)
         picked = df.select(*[col(x).cast("bigint").alias(d) for d, x in coordinates.items()], *[col(x).cast("double").alias(n) for n, x in zip(names, values, strict=True)])
-        picked = picked.dropna()
+        for name in picked.columns:  # not dropna, which takes NaN for null
+            picked = picked.filter(c(name).isNotNull())
         dims = tuple(coordinates)
         if dims and not sums:
             out = picked.select(*map(c, dims), *[F.col(n).cast(VALUE[kind]).alias(n) for n in names])

@@ -1,5 +1,8 @@
 """Programs, spaces, functors, storage, streams and scalar helpers."""
 
+import random
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -188,7 +191,21 @@ def test_scalars(spark):
     p = spark.createDataFrame([([2, 0, 1],), ([1, 0, 2],)], "p array<int>")
     assert [tuple(r) for r in p.select(scalars.permutation_sign("p"), scalars.inverse_permutation("p")).collect()] == [(1, [1, 2, 0]), (-1, [1, 0, 2])]
     assert scalars.permutation_cycles([1, 0, 2]) == [(0, 1), (2,)] and sorted(scalars.random_permutation(5, 1)) == list(range(5))
-    assert sum(scalars.random_composition(9, 4, 2)) == 9 and scalars.cluster_points([5, 1, 2, 9], 1.5) == [[1, 2], [5], [9]]
+    assert sum(scalars.random_composition(9, 4, 2)) == 9 and scalars.cluster_points([5, 1, 2, 9], 0.6) == [[5], [1, 2], [9]]
+
+
+def test_clusters(spark):
+    """Over many partitions, with repeated values, as in one scan."""
+    r = random.Random(8)
+    for tolerance in (0.5, 3.0):
+        values = [round(r.gauss(r.choice([0, 5, 30]), 1), 2) for _ in range(300)] + [1.0] * 40
+        df = spark.createDataFrame([(x,) for x in [*values, None, float("nan")]], "x double").repartition(5)
+        got = scalars.clusters(df, "x", tolerance).collect()
+        want = scalars.cluster_points(sorted(values), tolerance)
+        assert sorted((x.x, x.cluster) for x in got if x.cluster is not None) == sorted((x, k) for k, c in enumerate(want) for x in c)
+        assert all(abs(x.cluster_mean - sum(want[x.cluster]) / len(want[x.cluster])) < 1e-9 for x in got if x.cluster is not None)
+        assert sum(x.cluster is None for x in got) == 2 and 5 < len(want) < 250
+    assert scalars.clusters(spark.createDataFrame([], "x double"), "x", 1.0).count() == 0
 
 
 @pytest.mark.parametrize("text, kind", [("T(a) = 1.0", "assignment"), ("T(a) *= 2", "scaling"), ("T(a)/=2", "scaling"), ("T(a)+=S(a)*2.0", "addition"), ("T(a)-=S(a)", "addition"), ("T(a,b)+=L(a,c)*R(c,b)", "contraction"), ("T(a)=?", "create"), ("CREATE_ARRAY T(a,b)", "create"), ("~T", "delete"), ("DELETE_ARRAY T", "delete"), ("index: a=b", None), ("T(a) = S(a)", "assignment")])
