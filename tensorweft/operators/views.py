@@ -96,46 +96,49 @@ def split_operation(p: P.Pattern, sizes: dict[str, int]) -> tuple[str, int] | No
     return x, (sizes[x] + 1) // 2
 
 
-def operation_parts(p: P.Pattern, sizes: dict[str, int], most: int) -> list[dict[str, tuple[int, int]]]:
-    """The operation as parts, label to (offset, extent), of which no operand has more than `most` elements."""
-    todo, done = [{x: (0, n) for x, n in sizes.items()}], []
-    while todo:
-        part = todo.pop()
-        extents = {x: n for x, (_, n) in part.items()}
+def operation_parts(p: P.Pattern, sizes: dict[str, int], most: int) -> dict[str, int]:
+    """The operation as a grid of parts: an extent per label, with which no operand of a part has more than `most` elements."""
+    extents = dict(sizes)
+    while any(prod(extents[x] for x in o.labels) > most for o in (p.dest, *p.inputs)):
         split = split_operation(p, extents)
-        if split is None or all(prod(extents[x] for x in o.labels) <= most for o in (p.dest, *p.inputs)):
-            done.append(part)
-            continue
-        x, n = split
-        a, whole_ = part[x]
-        todo += [part | {x: (a + n, whole_ - n)}, part | {x: (a, n)}]
-    return done
+        if split is None:
+            break
+        extents[split[0]] = split[1]
+    return extents
 
 
 def contract_in_parts(p: P.Pattern | str, left: Tensor, right: Tensor, most: int, into: Tensor | None = None) -> Tensor:
-    """The contraction as a sum of contractions of slices that have at most `most` elements each.
+    """The contraction part by part, each with at most `most` elements an operand.
 
-    Spark spills what doesn't fit, so this is for callers that want the parts themselves bounded (each is a plan of its
-    own); all parts are one plan's branches here.
+    One plan whatever the number of parts: the parts' coordinates are labels beside the others, by which the rows meet
+    and are summed; a last sum puts the parts together.
     """
     p = P.check_pair(P.parse(p) if isinstance(p, str) else p)
     left, right = left.relabel(p.inputs[0].labels), right.relabel(p.inputs[1].labels)
     sizes = dict(zip(left.dims + right.dims, left.known() + right.known()))
     if any(n == 0 for n in sizes.values()):
         raise TensorError("an extent is zero")
-    kind = wider(left.kind, right.kind)
-    out = into or Tensor.zeros(left.df.sparkSession, p.dest.labels, [sizes[x] for x in p.dest.labels], kind, p.dest.name)
-    pieces = []
-    for part in operation_parts(p, sizes, most):
-        a, b = (slice_of(t, [part[x][0] for x in t.dims], [part[x][1] for x in t.dims]) for t in (left, right))
-        d = contract(p, a, b)
-        pieces.append(d.df.select(*[(c(x) + part[x][0]).alias(x) for x in p.dest.labels], *d.values))
-    total = pieces[0]
-    for x in pieces[1:]:
-        total = total.unionByName(x)
-    names = ("re", "im") if kind[0] == "C" else ("v",)
-    summed = total.groupBy(*map(c, p.dest.labels)).agg(*[F.sum(n).alias(n) for n in names])
-    return add(Tensor(summed, p.dest.labels, tuple(sizes[x] for x in p.dest.labels), kind, p.dest.name), out)
+    part = operation_parts(p, sizes, most)
+    block = lambda x: f"part_{x}"
+    dealt = lambda t: Tensor(block_keys(t, [part[x] for x in t.dims], "part"), (*t.dims, *map(block, t.dims)), (*t.extents, *(-(-sizes[x] // part[x]) for x in t.dims)), t.kind, t.name, t.unsummed)
+    labels = list(dict.fromkeys((*p.dest.labels, *p.contracted())))
+    wider_ = lambda o, names: P.Operand(o.name, (*o.labels, *map(block, names)), o.conj)
+    whole_ = P.Pattern(wider_(p.dest, labels), tuple(wider_(o, o.labels) for o in p.inputs), p.assign, p.factor)
+    made = contract(whole_, dealt(left), dealt(right))
+    total = made.df.groupBy(*map(c, p.dest.labels)).agg(*[F.sum(v).alias(v) for v in made.values])
+    out = Tensor(total, p.dest.labels, tuple(sizes[x] for x in p.dest.labels), made.kind, p.dest.name)
+    return add(out, into) if into is not None else out
+
+
+def compare_indices(a: str, b: str):
+    """Of two columns of coordinates (arrays): -1, 0 or 1 by the first that differs, else by their number."""
+    return F.when(F.col(a) < F.col(b), -1).when(F.col(a) == F.col(b), 0).otherwise(1)
+
+
+def merged(a: Tensor, b: Tensor) -> DataFrame:
+    """The rows of both by coordinates, of equal ones a's first, with where they come from (0, 1)."""
+    both = a.df.withColumn("source", F.lit(0)).unionByName(b.relabel(a.dims).df.withColumn("source", F.lit(1)))
+    return both.orderBy(*map(c, a.dims), "source")
 
 
 def ordered(t: Tensor, *dims: str) -> DataFrame:

@@ -72,6 +72,20 @@ def Z(spark, d) -> Tensor:
     return Tensor.from_table(read_table(spark, d, "lineitem"), {"i": F.expr("l_orderkey % 12"), "j": F.expr("l_suppkey % 8")}, ("l_quantity", "l_linenumber"), (12, 8), "C8", name="Z")
 
 
+def numbers(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the column's values numbered from 0 in their order, by range partitions and their sizes."""
+    spark = df.sparkSession
+    each = df.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    placed = each.select(column, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    first = placed.groupBy("part").agg(F.count("*").alias("many"), F.min("at").alias("start")).collect()  # a row a partition
+    before, rows = 0, []
+    for r in sorted(first):
+        rows.append((r.part, r.start - before))
+        before += r.many
+    starts = F.broadcast(spark.createDataFrame(rows, "part int, shift long"))
+    return placed.join(starts, "part").select(column, (F.col("at") - F.col("shift")).alias(name))
+
+
 SQL_A = "SELECT l_orderkey % 12 AS i, l_suppkey % 8 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL"
 SQL_B = "SELECT l_suppkey % 8 AS j, l_partkey % 6 AS k, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY ALL"
 SQL_C = "SELECT l_orderkey % 12 AS i, l_partkey % 8 AS j, CAST(sum(l_linenumber) AS DOUBLE) AS v FROM lineitem GROUP BY ALL"
@@ -95,9 +109,7 @@ SELECT CAST(c_nationkey AS BIGINT) AS n, b, sum(l_quantity) AS v FROM customer J
 def contraction_network(spark, d):
     """N(n,b): quantities by nation and brand, over customers, orders, lines and parts in the cheapest order."""
     part = read_table(spark, d, "part")
-    brands = part.select("p_brand").distinct()
-    names = brands.agg(F.sort_array(F.collect_list("p_brand")).alias("names"))  # a row of as many names as there are brands
-    numbered = part.crossJoin(F.broadcast(names)).select("p_partkey", (F.array_position("names", F.col("p_brand")) - 1).alias("b"))
+    numbered = part.join(numbers(part, "p_brand", "b"), "p_brand").select("p_partkey", "b")
     n = {t: read_table(spark, d, t) for t in ("customer", "orders", "lineitem")}
     a = Tensor.from_table(n["customer"], {"c": "c_custkey", "n": "c_nationkey"}, 1.0, (None, 25), sums=False)
     o = Tensor.from_table(n["orders"], {"o": "o_orderkey", "c": "o_custkey"}, 1.0, sums=False)
@@ -413,9 +425,11 @@ def nan_search(spark, d):
     return reduce.has_nan(A(spark, d))
 
 
-@query(WITH + "SELECT count(*) AS diff_count FROM range(12) t(x), range(8) u(y) LEFT JOIN A ON A.i = x AND A.j = y LEFT JOIN C ON C.i = x AND C.j = y WHERE abs(coalesce(A.v, 0) - coalesce(C.v, 0)) > CASE WHEN least(abs(coalesce(A.v, 0)), abs(coalesce(C.v, 0))) < 1e-13 THEN 1e-13 ELSE 1e-2 * greatest(abs(A.v), abs(C.v)) END")
+@query(WITH + "SELECT sum(CASE WHEN abs(x - y) > 1e-13 THEN 1 ELSE 0 END) AS diff_absolute, sum(CASE WHEN abs(x - y) > 0.01 * greatest(x, y) THEN 1 ELSE 0 END) AS diff_relative FROM (SELECT coalesce(A.v, 0) AS x, coalesce(C.v, 0) AS y FROM A FULL JOIN C ON A.i = C.i AND A.j = C.j)")
 def comparison(spark, d):
-    return reduce.compare(A(spark, d), C(spark, d))
+    a, b = A(spark, d), C(spark, d)
+    named = lambda df, name: df.select(F.col("diff_count").alias(name))
+    return named(reduce.compare(a, b), "diff_absolute").crossJoin(named(reduce.compare(a, b, relative=True), "diff_relative"))  # one row each
 
 
 @query(WITH + "SELECT i, j, v FROM A WHERE abs(v) > 1000")
@@ -426,32 +440,32 @@ def print_threshold(spark, d):
 # ------------------------------------------------------------------ factorisations
 
 
-@query(WITH + "SELECT k, a, i, round(v, 3) AS v FROM T")
+@query(WITH + "SELECT k, a, i, round(v, 8) AS v FROM T")
 def svd_reconstruction(spark, d):
     left, s, right = linalg.svd("D(k,a,i)=L(i,m)*R(m,a,k)", T3(spark, d).relabel(("k", "a", "i")))
     scaled = contract("L(i,m)+=L(i,m)*S(m)", left, s)
     made = contract("D(k,a,i)+=L(i,m)*R(m,a,k)", scaled, right)
-    return made.df.select("k", "a", "i", F.round("v", 3).alias("v"))
+    return made.df.select("k", "a", "i", F.round("v", 8).alias("v"))
 
 
-@query(WITH + "SELECT i, j, round(v, 3) AS v FROM A")
+@query(WITH + "SELECT i, j, round(v, 8) AS v FROM A")
 def svd_absorbed(spark, d):
     left, _, right = linalg.svd("D(i,j)=L(i,m)*R(m,j)", A(spark, d), absorb="both")
-    return contract("D(i,j)+=L(i,m)*R(m,j)", left, right).df.select("i", "j", F.round("v", 3).alias("v"))
+    return contract("D(i,j)+=L(i,m)*R(m,j)", left, right).df.select("i", "j", F.round("v", 8).alias("v"))
 
 
 @query("SELECT x, y, CAST(CASE WHEN x = y THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(8) t(x), range(8) u(y)")
 def orthogonalisation(spark, d):
     """Products of the columns of the orthogonal tensor next to A: the unit matrix."""
     u = linalg.orthogonalise("D(i,j)=L(i,m)*R(m,j)", A(spark, d))
-    return contract("G(x,y)+=L(i,x)*R(i,y)", u, u).df.select("x", "y", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+    return contract("G(x,y)+=L(i,x)*R(i,y)", u, u).df.select("x", "y", (F.round("v", 9) + F.lit(0.0)).alias("v"))
 
 
 @query("SELECT x, y, CAST(CASE WHEN x = y THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(8) t(x), range(8) u(y)")
 def gram_schmidt(spark, d):
     """Products of the columns of A made orthonormal one after the other."""
     u = linalg.gram_schmidt("D(i,j)=L(i,m)*R(m,j)", A(spark, d))
-    return contract("G(x,y)+=L(i,x)*R(i,y)", u, u).df.select("x", "y", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+    return contract("G(x,y)+=L(i,x)*R(i,y)", u, u).df.select("x", "y", (F.round("v", 9) + F.lit(0.0)).alias("v"))
 
 
 # ------------------------------------------------------------------ sources
@@ -471,8 +485,7 @@ def array_column(spark, d):
 def events_tensor(spark, d):
     """V(u,k): events by user and type, types numbered in their order."""
     events = read_table(spark, d, "events")
-    names = events.select("event_type").distinct().agg(F.sort_array(F.collect_list("event_type")).alias("names"))
-    numbered = events.crossJoin(F.broadcast(names)).select("user_id", (F.array_position("names", F.col("event_type")) - 1).alias("k"))
+    numbered = events.join(numbers(events, "event_type", "k"), "event_type")
     return Tensor.from_table(numbered, {"u": "user_id", "k": "k"}, 1.0).df
 
 
@@ -484,11 +497,14 @@ def save_and_load(spark, d):
 
 
 def _folder(spark, name: str) -> str:
-    """A fresh folder under the cluster's shared one; of this machine only where none is named."""
+    """A fresh folder under the cluster's shared one; of this machine only in local mode."""
     import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    shared = shared or f"file://{tempfile.gettempdir()}"
     return f"{shared.rstrip('/')}/tensorweft-{name}-{uuid.uuid4().hex}"
 
 
@@ -569,10 +585,15 @@ def permutation_signs(spark, d):
     return spark.range(6).select(F.col("id").alias("k"), scalars.permutation_sign(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda x: F.pmod(x + F.col("id"), F.lit(4)))).alias("sign"))
 
 
-@query("WITH s AS (SELECT s_suppkey, round(s_acctbal) AS x FROM supplier), g AS (SELECT *, CASE WHEN x - lag(x) OVER (ORDER BY x, s_suppkey) > 50 THEN 1 ELSE 0 END AS n FROM s) SELECT s_suppkey, CAST(sum(n) OVER (ORDER BY x, s_suppkey) AS BIGINT) AS cluster FROM g")
+@query("""WITH RECURSIVE p AS (SELECT round(s_acctbal) AS x, count(*) AS times, row_number() OVER (ORDER BY x) AS k FROM supplier GROUP BY 1),
+m AS (SELECT 2 * (max(x) - min(x)) / sum(times) AS most FROM p),
+c AS (SELECT k, x, CAST(0 AS BIGINT) AS cluster, CAST(x * times AS DOUBLE) AS total, CAST(times AS BIGINT) AS held FROM p WHERE k = 1
+  UNION ALL SELECT p.k, p.x, CASE WHEN p.x - total / held < most THEN cluster ELSE cluster + 1 END, CASE WHEN p.x - total / held < most THEN total + p.x * times ELSE p.x * times END,
+  CASE WHEN p.x - total / held < most THEN held + times ELSE times END FROM c JOIN p ON p.k = c.k + 1, m)
+SELECT s_suppkey, cluster FROM supplier JOIN c ON round(s_acctbal) = x""")
 def point_clusters(spark, d):
     s = read_table(spark, d, "supplier").select("s_suppkey", F.round("s_acctbal").alias("x"))
-    return scalars.clusters(s, "x", 50.0).select("s_suppkey", "cluster")
+    return scalars.clusters(s, "x", 2.0).select("s_suppkey", "cluster")
 
 
 # ------------------------------------------------------------------ plans and programs
@@ -638,3 +659,5 @@ def streaming_accumulation(spark, d):
     sums.start(stream, f"{folder}/checkpoint").awaitTermination()
     return sums.result().df
 
+
+from tensorweft.plans import queries_keys  # noqa: E402, F401  its queries register themselves

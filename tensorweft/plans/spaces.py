@@ -128,6 +128,10 @@ class SpaceRegistry:
     def exists(self, name: str) -> bool:
         return name in self.spaces or name in self.subspaces or name in self.labels
 
+    def status(self, name: str) -> str:
+        """space, subspace, label or absent."""
+        return next((kind for kind, held in (("space", self.spaces), ("subspace", self.subspaces), ("label", self.labels)) if name in held), "absent")
+
     def range_of(self, name: str) -> tuple[str, int, int]:
         """(space, lo, hi) of a label, subspace or space."""
         name = self.labels.get(name, name)
@@ -201,6 +205,11 @@ def overlap(a_lo: str, a_hi: str, b_lo: str, b_hi: str) -> Column:
     return F.greatest(F.lit(0), F.least(a_hi, b_hi) - F.greatest(a_lo, b_lo))
 
 
+def range_union(a_lo: str, a_hi: str, b_lo: str, b_hi: str) -> Column:
+    """The smallest range around two."""
+    return F.struct(F.least(a_lo, b_lo).alias("lo"), F.greatest(a_hi, b_hi).alias("hi"))
+
+
 def range_join(left: DataFrame, right: DataFrame, lo: str, hi: str, other_lo: str, other_hi: str, width: int) -> DataFrame:
     """Pairs of ranges that overlap: an equi-join on cells of `width` that both touch, each pair in its first cell only.
 
