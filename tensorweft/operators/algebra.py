@@ -8,6 +8,7 @@ both are dealt over a grid of blocks, so that no task holds a whole side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from tensorweft.operators.tensor import VALUE, Tensor, TensorError, as_complex, c, dense, summed, wider
 from tensorweft.plans import pattern as P
 
-#: Rows of a side that may be broadcast where no key can be joined on.
-BROADCAST_ROWS = 100_000
+#: Bytes that a broadcast side of a product has at most.
+BROADCAST_BYTES = 16 << 20
 
 
 def _pattern(p: P.Pattern | str) -> P.Pattern:
@@ -65,17 +66,20 @@ def _product(left: Tensor, right: Tensor, factor: complex | float) -> list[Colum
     return [(re * factor.real - im * factor.imag).alias("re"), (re * factor.imag + im * factor.real).alias("im")]
 
 
-def joined(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Equi-join on the shared labels; without any, a product that spreads over blocks of the larger side."""
+def joined(left: DataFrame, right: DataFrame, on: Sequence[str], row_bytes: int = 64) -> DataFrame:
+    """Equi-join on the shared labels; without any, a product that spreads over blocks of both sides.
+
+    row_bytes: what a row holds at most, so that a side is broadcast only if BROADCAST_BYTES bound it.
+    """
     if on:
         return left.join(right, list(on))
-    n_right = right.limit(BROADCAST_ROWS + 1).count()
-    if n_right <= BROADCAST_ROWS:
+    most = max(1, BROADCAST_BYTES // row_bytes)
+    if right.limit(most + 1).count() <= most:
         return left.crossJoin(F.broadcast(right))
-    if left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if left.limit(most + 1).count() <= most:
         return F.broadcast(left).crossJoin(right)
-    # Neither side is small: 16 x 16 blocks, each row copied to the 16 blocks of its row or column.
-    n = 16
+    # Neither side is small: n x n blocks for about as many tasks as a shuffle has, each row copied to the n blocks of its row or column.
+    n = max(2, math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     spread = lambda df, here, there: df.withColumn(here, F.pmod(F.xxhash64(*map(c, df.columns)), F.lit(n)).cast("int")).withColumn(there, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return spread(left, "_i", "_j").join(spread(right, "_j", "_i"), ["_i", "_j"]).drop("_i", "_j")
 

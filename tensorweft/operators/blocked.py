@@ -8,6 +8,7 @@ a task holds two of them and HELD sums.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -68,7 +69,8 @@ def contract_blocked(p: P.Pattern | str, left: Tensor, right: Tensor, block: int
     on = [f"k_{x}" for x in summed_labels]
     from tensorweft.operators.algebra import joined
 
-    met = joined(a, b, on)
+    # a row is a block: a position and a value for each of its elements
+    met = joined(a, b, on, 16 * max(math.prod(size[x] for x in t.dims) for t in (left, right)))
     out_keys = [f"o_{x}" for x in p.dest.labels]
     shapes = ([size[x] for x in left.dims], [size[x] for x in right.dims], [size[x] for x in p.dest.labels])
     orders = ([left.dims.index(x) for x in rows + summed_labels], [right.dims.index(x) for x in summed_labels + columns], [(rows + columns).index(x) for x in p.dest.labels])

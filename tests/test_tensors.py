@@ -95,7 +95,7 @@ def test_blocks(spark, text):
 def test_products_of_two_large_sides(spark, monkeypatch):
     import tensorweft.operators.algebra as algebra
 
-    monkeypatch.setattr(algebra, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(algebra, "BROADCAST_BYTES", 3 * 64)
     a, b = spark.range(20).toDF("a"), spark.range(15).toDF("b")
     assert sorted(tuple(r) for r in joined(a, b, []).select("a", "b").collect()) == list(itertools.product(range(20), range(15)))
 
