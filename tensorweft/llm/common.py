@@ -29,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of our own only where it is unset, in local mode."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tensorweft-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -100,7 +102,7 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def annotate(df: DataFrame, inputs: Sequence[str], fn: Callable[..., Sequence[Sequence]], ddl: str, keep: Sequence[str] | None = None) -> DataFrame:
+def annotate(df: DataFrame, inputs: Sequence[str], fn: Callable[..., Sequence[Sequence]], ddl: str, keep: Sequence[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Append the columns of ddl, computed by fn from lists of the values of inputs.
 
     Strings come as UTF-8 bytes, arrays of longs as numpy arrays, nulls as None.
@@ -122,7 +124,7 @@ def annotate(df: DataFrame, inputs: Sequence[str], fn: Callable[..., Sequence[Se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, names):
+            for part in slices(batch, names, slice_bytes):
                 columns = [values(part.column(part.schema.get_field_index(n))) for n in names]
                 out = fn(*columns)
                 arrays = [part.column(part.schema.get_field_index(f"k{i}")) for i in range(n_keep)]
@@ -165,8 +167,8 @@ def values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def slices(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the strings of a slice hold SLICE_BYTES at most, one row at least."""
+def slices(batch: pa.RecordBatch, names: Sequence[str], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the strings of a slice hold `most` bytes, one row at least."""
     if batch.num_rows == 0:
         yield batch
         return
@@ -179,7 +181,7 @@ def slices(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[pa.RecordBat
             sizes = [a + (b or 0) for a, b in zip(sizes, pc.binary_length(column).to_pylist(), strict=True)]
     start = held = 0
     for i, x in enumerate(sizes):
-        if i > start and held + x > SLICE_BYTES:
+        if i > start and held + x > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += x

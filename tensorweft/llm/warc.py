@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorweft.llm.common import emit, fresh_path, materialise, quoted, ship, slices, values
+from tensorweft.llm.common import emit, fresh_path, materialise, maybe_broadcast, quoted, ship, slices, values
 
 #: Payloads smaller than this are never revisits.
 LEAST = 100
@@ -214,7 +214,8 @@ def with_references(pages: DataFrame, page_id: str = "page_id", html: str = "htm
     # Equal payloads meet as partial smallest ids; only those that two pages have go on to the join, which AQE may split.
     firsts = p.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("key"), "least")
     key = F.when(F.col("size") >= LEAST, F.col("digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(" "), "digest"))
-    both = p.withColumn("key", key).join(firsts, "key", "left")
+    # smaller payloads are all responses; where the digests of repeated ones fit a broadcast, no html is shuffled
+    both = p.withColumn("key", key).join(maybe_broadcast(materialise(firsts, "firsts")), "key", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
     return both.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -267,18 +268,22 @@ def locate(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             start, _ = found[DATA]
             index = source.read(*found[INDEX]).decode()
             source.close()
-            first, sizes = None, []
+            first, held, sizes = 0, 0, []
+
+            def close(path=path, start=start):
+                for x, y in zip(out, (path.decode(), start + first, held, sizes)):
+                    x.append(y)
+
             for line in index.splitlines():
                 at, n = map(int, line.split(" ", 2)[:2])
-                if sizes and sum(sizes) + n > range_bytes:
-                    for x, y in zip(out, (path.decode(), start + first, sum(sizes), sizes)):
-                        x.append(y)
-                    sizes = []
-                first = at if not sizes else first
-                sizes = [*sizes, n]
+                if sizes and held + n > range_bytes:
+                    close()
+                    held, sizes = 0, []
+                first = first if sizes else at
+                sizes.append(n)
+                held += n
             if sizes:
-                for x, y in zip(out, (path.decode(), start + first, sum(sizes), sizes)):
-                    x.append(y)
+                close()
         return out
 
     return emit(packages, ["path"], run, "path string, start long, length long, sizes array<long>")
