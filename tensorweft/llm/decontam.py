@@ -5,8 +5,8 @@ of an item are a window, an item of fewer words is one window. The windows' word
 these numbers (0: in no window), rolling sums look up all its windows in a bit table, and every hit is verified by the
 numbers themselves, so no hash decides.
 
-The broadcast table's size follows the benchmark, not the corpus, and is checked: items are dealt into blocks of
-BLOCK_BYTES at most, one pass over the texts each, and the passes' hits are merged by row, within the row.
+The broadcast tables' size follows the benchmark, not the corpus, and is checked: items are dealt into blocks of about
+BLOCK_BYTES, each a broadcast of its own. The texts are read once; a slice of them meets the blocks one after the other.
 
 Null and empty texts have no words: no hits, not contaminated. Items without words have no window. Repeated items and
 rows count once and each. A null item_id marks words but is not listed. A column named as a computed one gives way.
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorweft.llm.common import annotate, materialise, quoted
+from tensorweft.llm.common import SLICE_BYTES, annotate, quoted
 
 WINDOW = 10
 #: Bytes of item texts whose windows are broadcast at once: about 600,000 windows, 150 MB in a worker.
@@ -117,73 +117,59 @@ def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(str(x) for x in items if x is not None)).encode()).hexdigest()
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
+def held_blocks(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> list:
+    """The items' windows as broadcasts of about block_bytes of item texts each; an item is in one block.
+
+    The items pass the driver a block at a time; workers hold one block at a time as well.
+    """
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = -(-size // block_bytes) or 1
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    return [items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    context, keep = docs.sparkSession.sparkContext, docs.columns if keep is None else list(keep)
-    blocks = blocks_of(benchmark, item_id, item_text, block_bytes)
-
-    def table_of(block: DataFrame):
-        return context.broadcast(Windows([(r[0], r[1].encode() if r[1] is not None else None) for r in block.collect()], window))
+    out = []
+    for i in range(n):
+        some = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()
+        out.append(docs.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1].encode() if r[1] is not None else None) for r in some], window)))
+    return out
 
-    if len(blocks) == 1:
-        held = table_of(blocks[0])
 
-        def run(texts):
-            found = scan(texts, held.value)
-            hits = [sum(marks) for _, marks, _ in found]
-            return [n for n, _, _ in found], hits, [sum(x is not None for x in s) for _, _, s in found], [digest(s) for _, _, s in found], [h > 0 for h in hits]
+def scan_all(texts: Sequence[bytes | None], held: Sequence) -> list[tuple[int, bytes, set]]:
+    """Per text: its number of words, the marks and the items that hit, over all blocks."""
+    out: list = []
+    for block in held:
+        found = scan(texts, block.value)
+        if len(held) > 1 and hasattr(block, "_value"):
+            del block._value  # read again when its turn comes, so that one block is in memory
+        out = found if not out else [(n, bytes(x | y for x, y in zip(a, b)) if any(b) else a, s | t) for (n, a, s), (_, b, t) in zip(out, found)]
+    return out
 
-        return annotate(docs, [text], run, FIELDS, keep)
 
-    marked, mine = docs, ["_marks", "_items"]
-    for k, block in enumerate(blocks):
-        held = table_of(block)
+def slice_of(held: Sequence) -> int:
+    """Bytes of texts at a time: with many blocks, more for each time that they are read."""
+    return SLICE_BYTES if len(held) == 1 else 32 * SLICE_BYTES
 
-        def more(texts, *before, held=held):
-            found = scan(texts, held.value)
-            marks, items = [bytes(m) for _, m, _ in found], [sorted(str(x) for x in s if x is not None) for _, _, s in found]
-            if before:
-                marks = [bytes(x | y for x, y in zip(a, b)) for a, b in zip(marks, before[0])]
-                items = [sorted({*a, *b}) for a, b in zip(items, before[1])]
-            return marks, items
 
-        marked = materialise(annotate(marked, [text, *(mine if k else [])], more, "_marks binary, _items array<string>", list(dict.fromkeys([*keep, text]))), "marks")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items_sha256 and contaminated; one pass over the texts, no shuffle."""
+    held = held_blocks(docs, benchmark, item_id, item_text, window, block_bytes)
 
-    def total(marks, items):
-        hits = [sum(m) for m in marks]
-        return [len(m) for m in marks], hits, [len(s) for s in items], [digest(s) for s in items], [h > 0 for h in hits]
+    def run(texts):
+        found = scan_all(texts, held)
+        hits = [sum(marks) for _, marks, _ in found]
+        return [n for n, _, _ in found], hits, [len({str(x) for x in s if x is not None}) for _, _, s in found], [digest(s) for _, _, s in found], [h > 0 for h in hits]
 
-    return annotate(marked, mine, total, FIELDS, keep)
+    return annotate(docs, [text], run, FIELDS, docs.columns if keep is None else list(keep), slice_of(held))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the words that any block of items hits cut out of their texts, white space around a cut made one space."""
+    """docs with the words that any item hits cut out of their texts, white space around a cut made one space."""
     import re
 
-    blocks, order = blocks_of(benchmark, item_id, item_text, block_bytes), docs.columns
+    held, order = held_blocks(docs, benchmark, item_id, item_text, window, block_bytes), docs.columns
     word, kind = re.compile(rb"[0-9A-Za-z\x80-\xff]+"), docs.schema[text].dataType.simpleString()
-    marked = docs.withColumn("_text", quoted(text))
-    for k, block in enumerate(blocks):
-        held = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1].encode() if r[1] is not None else None) for r in block.collect()], window))
-
-        def more(texts, *before, held=held):
-            marks = [bytes(m) for _, m, _ in scan(texts, held.value)]
-            return [[bytes(x | y for x, y in zip(a, b)) for a, b in zip(marks, before[0])] if before else marks]
-
-        marked = annotate(marked, ["_text", *(["_marks"] if k else [])], more, "_marks binary", [*(c for c in order if c != text), "_text"])
-        if len(blocks) > 1:
-            marked = materialise(marked, "marks")
 
-    def cut(texts, found):
+    def cut(texts):
         out = []
-        for t, marks in zip(texts, found):
+        for t, (_, marks, _) in zip(texts, scan_all(texts, held)):
             if any(marks):
                 parts, last = [], 0
                 for m, hit in zip(word.finditer(t), marks):
@@ -194,4 +180,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             out.append(None if t is None else t.decode())
         return [out]
 
-    return annotate(marked, ["_text", "_marks"], cut, f"`{text}` {kind}", [c for c in order if c != text]).select(*map(quoted, order))
+    return annotate(docs, [text], cut, f"`{text}` {kind}", [c for c in order if c != text], slice_of(held)).select(*map(quoted, order))
