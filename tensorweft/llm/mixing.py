@@ -4,14 +4,15 @@
 2. Together they get 150 % of all sizes by weight; a target stops at twice its source's size and the excess is shared
    again by weight until none is above: sources are sorted by the level at which they stop, and running sums give the
    level of those that don't.
-3. The targets' blocks of BLOCK words are apportioned to sources, and each source's blocks to its shards, by the highest
-   quotients size / (2 k + 1). Only quotients near the last that wins are listed, about four a shard: below them all
+3. The targets' blocks of BLOCK words are apportioned to sources, each source's blocks to its groups of GROUP shards, and
+   a group's blocks to its shards, by the highest quotients size / (2 k + 1). Only quotients near the last that wins are listed, about four a shard: below them all
    win, above them none.
-4. A shard's documents stand in an order drawn by SEED. A quota of q blocks takes the shard whole as often as it fits,
+4. A shard's documents stand in an order drawn by SEED, so that any run of blocks is a drawn selection of its documents. A quota of q blocks takes the shard whole as often as it fits,
    and the rest as one run of blocks from a drawn place on, around the end. No document is taken over twice, since no
    quota exceeds twice its shard.
 
-A shard has about SHARD documents by a hash of their ids, so a hot source has many and no window holds a source.
+A shard has about SHARD documents by a hash of their ids, so a hot source has many; no window holds a source's documents
+or all its shards, but GROUP shards, or the groups, 17 million documents each. The sources meet in one window, one row each.
 Null texts and texts without words have size 0 and are taken for 0. Rows without an id are drawn by their size.
 Equal rows get what the order gives them; which of them gets more doesn't show. An empty table gives an empty result.
 """
@@ -29,6 +30,8 @@ PERCENT = 150
 MOST = 2
 BLOCK = 4
 SHARD = 4096
+#: Shards that are apportioned together.
+GROUP = 4096
 SEED = "mix-1"
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -81,8 +84,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     dealt = rows.join(maybe_broadcast(aimed), F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "source", "size", "source_size", "target", "blocks", F.pmod(drawn(F.lit("shard"), named), shards).alias("shard"), drawn(F.lit("order"), named).alias("place")
     )
-    sized = dealt.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
-    quotas = apportion(sized, "shard_size", "blocks", ["source"], ["shard"], "quota")
+    sized = materialise(dealt.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("shard_size")).withColumn("grp", F.floor(F.col("shard") / GROUP)), "shards")
+    groups = sized.groupBy("source", "grp", "blocks").agg(F.sum("shard_size").alias("grp_size"))
+    groups = apportion(groups, "grp_size", "blocks", ["source"], ["grp"], "seats").select(F.col("source").alias("_source"), F.col("grp").alias("_grp"), "seats")
+    sized = sized.join(maybe_broadcast(materialise(groups, "groups")), F.col("source").eqNullSafe(F.col("_source")) & (F.col("grp") == F.col("_grp"))).drop("_source", "_grp")
+    quotas = apportion(sized, "shard_size", "seats", ["source", "grp"], ["shard"], "quota")
     words, whole = F.least(F.col("quota") * block, MOST * F.col("shard_size")), F.col("shard_size")
     passes = F.when(whole > 0, F.floor(words / whole)).otherwise(F.lit(0)).cast("long")
     first = block * F.pmod(drawn(F.lit("first"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")), F.greatest(F.lit(1), F.ceil(whole / F.lit(float(block)))))

@@ -139,7 +139,10 @@ d AS (SELECT r.doc_id, r.source, r.size, source_size, target, blocks,
   {_drawn("'order'", "coalesce(CAST(doc_id AS VARCHAR), 'size ' || size)")} AS place
   FROM r JOIN s6 ON r.source IS NOT DISTINCT FROM s6.source),
 q0 AS (SELECT source, shard, blocks, CAST(sum(size) AS BIGINT) AS shard_size FROM d GROUP BY ALL),
-q1 AS (SELECT * FROM {_apportioned('q0', 'shard_size', 'blocks', 'source', 'shard', 'quota').replace('{cols}', 'source, shard, blocks, shard_size')}),
+g0 AS (SELECT source, shard // {mixing.GROUP} AS grp, blocks, CAST(sum(shard_size) AS BIGINT) AS grp_size FROM q0 GROUP BY ALL),
+g1 AS (SELECT * FROM {_apportioned('g0', 'grp_size', 'blocks', 'source', 'grp', 'seats').replace('{cols}', 'source, grp, blocks, grp_size')}),
+g2 AS (SELECT q0.source, shard, g1.grp, g1.seats, shard_size FROM q0 JOIN g1 ON q0.source IS NOT DISTINCT FROM g1.source AND q0.shard // {mixing.GROUP} = g1.grp),
+q1 AS (SELECT * FROM {_apportioned('g2', 'shard_size', 'seats', 'source, grp', 'shard', 'quota').replace('{cols}', 'source, shard, grp, seats, shard_size')}),
 q2 AS (SELECT *, CAST(least(quota * {mixing.BLOCK}, {mixing.MOST} * shard_size) AS BIGINT) AS words,
   {mixing.BLOCK} * ({_drawn("'first'", "coalesce(source, '')", 'CAST(shard AS VARCHAR)')} % greatest(1, CAST(ceil(shard_size / {float(mixing.BLOCK)}) AS BIGINT))) AS first FROM q1),
 q3 AS (SELECT *, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS passes FROM q2),

@@ -41,6 +41,16 @@ def test_apportionment(spark, votes, seats):
     assert [got[i] for i in range(len(votes))] == plain_seats(votes, seats)
 
 
+def test_groups_of_shards(spark, monkeypatch):
+    """With few documents a shard and few shards a group, targets are met as with one."""
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rows = [(i, "w " * (1 + i * 7 % 40), "ab"[i % 3 == 0]) for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard=10).collect()
+    for s in "ab":
+        part = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 2 * mixing.BLOCK and all(r.taken <= 2 * r.size for r in part)
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(awkward())
