@@ -7,13 +7,17 @@ names), a context labeler (words before it), an edge labeler (does it touch othe
 (all digits alike). A vote is -1, 0 (abstains) or 1.
 
 Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each pattern's
-chance to be personal data. The counts are a table of bounded size (kinds x 3^5 patterns x 4 sizes), whatever the corpus,
-so the estimation is plain arithmetic on the driver. A logistic span classifier is then trained on these chances, and is
-applied as a column expression: candidates it accepts that touch no base span are added. Base spans stay in any case.
+chance to be personal data. A logistic span classifier is then trained on these chances with features that no labeler
+sees: the word before the span (one of WORDS buckets by hash), its separators, its kind with either, and its size, beside
+the votes. So a span on which the labelers are split goes with those of like form and neighbourhood. The counts are a
+table of bounded size (kinds x 3^5 patterns x 4 sizes x 16 separators x WORDS), whatever the corpus, so both fits are
+plain arithmetic on the driver. The classifier is applied as a column expression: candidates it accepts that touch no base
+span are added. Base spans stay in any case.
 
 Positions are code points. Match positions come from the pieces between the matches: text split by a pattern, zipped
 with what it matched, and summed up. All patterns are such that Java matches them without recursion and in linear time,
-and equal the plain ones they stand for. Null and empty texts have no spans. Repeated rows are judged alike.
+and equal the plain ones they stand for. Null and empty texts have no spans; long texts are matched whole. Repeated rows
+are judged alike. An empty table gives an empty result. Other columns stay (redact), whatever their names, or aren't read.
 """
 
 from __future__ import annotations
@@ -50,7 +54,10 @@ LABELERS = ("regex", "gazetteer", "context", "edge", "variety")
 SIZES = (8, 16, 24)
 ROUNDS = 50
 SPAN = "array<struct<start:int,end:int,text:string>>"
-CANDIDATE = "array<struct<kind:string,start:int,end:int,votes:int,size:int>>"
+CANDIDATE = "array<struct<kind:string,start:int,end:int,votes:int,size:int,marks:int,word:int>>"
+#: Separators that a span may have, a bit each; buckets of words before it, 0 for none.
+SEPARATORS = ("(", "-", ".", " ")
+WORDS = 16
 
 
 def digits(m: Column) -> Column:
@@ -119,11 +126,18 @@ def votes(kind: str, loose: bool, text: Column, s: Column) -> Column:
 
 def candidates(kind: str, loose: bool, text: Column, spans: Column) -> Column:
     size = lambda s: sum(((s["end"] - s["start"]) > x).cast("int") for x in SIZES)
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes(kind, loose, text, s).alias("votes"), size(s).alias("size"))).cast(CANDIDATE)
+    marks = lambda s: sum(F.contains(s["text"], F.lit(x)).cast("int") * (1 << i) for i, x in enumerate(SEPARATORS))
+
+    def word(s):
+        before = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"])))
+        last = F.regexp_extract(before, r"(\p{L}+)[^\p{L}\n]{0,3}$", 1)
+        return F.when(last == "", 0).otherwise(F.pmod(F.xxhash64(last), F.lit(WORDS - 1)) + 1)
+
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes(kind, loose, text, s).alias("votes"), size(s).alias("size"), marks(s).alias("marks"), word(s).alias("word"))).cast(CANDIDATE)
 
 
 def detected(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """The columns keep with _pii_base and _pii_more: base spans and further candidates, all with their votes."""
+    """_pii_row (a struct of the columns keep), _pii_base and _pii_more: base spans and further candidates, all with their votes."""
     t = F.coalesce(quoted(text), F.lit(""))
     plus, at, has_digit = F.contains(t, F.lit("+")), F.contains(t, F.lit("@")), t.rlike("[0-9]")
     base = {
@@ -139,10 +153,10 @@ def detected(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
         ("name", NAME): t.rlike(r"(?:\.|Herr|Frau|Madame|Monsieur|Mme|Mr|Mrs|Ms|Dr|Prof|Sra?|name is|appelle|heiße|llamo) \p{Lu}") & t.rlike(NAME),
     }
     names = {k: f"_pii_{k}" for k in BASE} | {k: f"_pii_{i}" for i, k in enumerate(more)}
-    spans = docs.select(*[quoted(c) for c in keep], t.alias("_pii_text"), *[v.alias(names[k]) for k, v in base.items()], *[found(t, p, guard).alias(names[k, p]) for (k, p), guard in more.items()])
+    spans = docs.select(F.struct(*[quoted(c) for c in keep]).alias("_pii_row"), t.alias("_pii_text"), *[v.alias(names[k]) for k, v in base.items()], *[found(t, p, guard).alias(names[k, p]) for (k, p), guard in more.items()])
     u = F.col("_pii_text")
     return spans.select(
-        *[quoted(c) for c in keep],
+        "_pii_row",
         F.concat(*[candidates(k, False, u, F.col(names[k])) for k in BASE]).alias("_pii_base"),
         F.concat(*[candidates(k, True, u, F.col(names[k, p])) for k, p in more]).alias("_pii_more"),
     )
@@ -157,11 +171,11 @@ def unpacked(pattern: int) -> list[int]:
 
 
 def expectation_maximisation(counts: Sequence[tuple[str, int, int, int]], rounds: int = ROUNDS) -> tuple[list[float], list]:
-    """counts: (kind, votes, size, n). Each row's chance to be personal data, and P(vote | class) per labeler.
+    """counts: (kind, votes, ..., n). Each row's chance to be personal data, and P(vote | class) per labeler.
 
     Votes are taken as independent given the class, each kind has its own share of the class, counts are smoothed by one.
     """
-    rows = [(k, unpacked(v), n) for k, v, _, n in counts]
+    rows = [(k, unpacked(v), n) for k, v, *_, n in counts]
     chance = [1 / (1 + math.exp(-sum(x - 1 for x in v))) for _, v, _ in rows]
     tables: list = []
     for _ in range(rounds):
@@ -191,14 +205,17 @@ def expectation_maximisation(counts: Sequence[tuple[str, int, int, int]], rounds
 
 
 class SpanClassifier:
-    """Logistic regression on kind, votes (one weight per labeler and vote) and size, on soft labels."""
+    """Logistic regression on kind, votes (one weight per labeler and vote), size, separators and word before, on soft labels.
+
+    counts: (kind, votes, size, marks, word, n).
+    """
 
-    def __init__(self, counts: Sequence[tuple[str, int, int, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3):
+    def __init__(self, counts: Sequence[tuple[str, int, int, int, int, int]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3):
         # Patterns come in a fixed order, so that sums and hence results don't depend on that of the rows.
         counts = sorted(counts)
         chance, self.reliabilities = expectation_maximisation(counts)
         self.weights: dict = {}
-        rows = [(self.features(k, v, s), p, n) for (k, v, s, n), p in zip(counts, chance)]
+        rows = [(self.features(*c[:-1]), p, c[-1]) for c, p in zip(counts, chance)]
         total = sum(math.sqrt(n) for *_, n in rows) or 1.0
         for _ in range(rounds):
             step: dict = {}
@@ -210,8 +227,8 @@ class SpanClassifier:
                 self.weights[x] = self.weights.get(x, 0.0) * (1 - decay * rate) + rate * 4 * g
 
     @staticmethod
-    def features(kind: str, pattern: int, size: int) -> list:
-        return [("kind", kind), ("size", size), *(("vote", i, x) for i, x in enumerate(unpacked(pattern)))]
+    def features(kind: str, pattern: int, size: int, marks: int, word: int) -> list:
+        return [("kind", kind), ("size", size), ("marks", kind, marks), ("word", kind, word), *(("vote", i, x) for i, x in enumerate(unpacked(pattern)))]
 
     def chance(self, features: Sequence) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(self.weights.get(x, 0.0) for x in features)))))
@@ -222,24 +239,27 @@ class SpanClassifier:
         kinds = F.create_map(*[F.lit(x) for k in KINDS for x in (k, w.get(("kind", k), 0.0))])
         sizes = F.array(*[F.lit(w.get(("size", s), 0.0)) for s in range(len(SIZES) + 1)])
         patterns = F.array(*[F.lit(sum(w.get(("vote", i, x), 0.0) for i, x in enumerate(unpacked(p)))) for p in range(3 ** len(LABELERS))])
-        return F.element_at(kinds, c["kind"]) + F.element_at(sizes, c["size"] + 1) + F.element_at(patterns, c["votes"] + 1) >= 0
+        place = F.array_position(F.array(*map(F.lit, KINDS)), c["kind"]).cast("int") - 1
+        marks = F.array(*[F.lit(w.get(("marks", k, m), 0.0)) for k in KINDS for m in range(1 << len(SEPARATORS))])
+        words = F.array(*[F.lit(w.get(("word", k, x), 0.0)) for k in KINDS for x in range(WORDS)])
+        form = F.element_at(marks, place * (1 << len(SEPARATORS)) + c["marks"] + 1) + F.element_at(words, place * WORDS + c["word"] + 1)
+        return F.element_at(kinds, c["kind"]) + F.element_at(sizes, c["size"] + 1) + F.element_at(patterns, c["votes"] + 1) + form >= 0
 
 
 def train(detections: DataFrame) -> SpanClassifier:
-    rows = detections.select(F.explode(F.concat("_pii_base", "_pii_more")).alias("c")).groupBy("c.kind", "c.votes", "c.size").count()
+    rows = detections.select(F.explode(F.concat("_pii_base", "_pii_more")).alias("c")).groupBy("c.kind", "c.votes", "c.size", "c.marks", "c.word").count()
     return SpanClassifier([tuple(r) for r in rows.collect()])
 
 
 def with_spans(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """docs (or the columns keep) with _pii_base and _pii_spans: arrays of kind, start, end, votes, size.
+    """_pii_row (a struct of docs' columns, or of keep), _pii_base and _pii_spans: arrays of candidates.
 
     The detections are written once, so that texts are matched once for the training and the result.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if not c.startswith("_pii_")]
-    held = materialise(detected(docs, text, keep), "pii")
+    held = materialise(detected(docs, text, docs.columns if keep is None else keep), "pii")
     model = train(held)
     free = F.filter("_pii_more", lambda c: model.accepts(c) & ~F.exists("_pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return held.select(*[quoted(c) for c in keep], "_pii_base", F.concat("_pii_base", free).alias("_pii_spans"))
+    return held.select("_pii_row", "_pii_base", F.concat("_pii_base", free).alias("_pii_spans"))
 
 
 def joined(spans: str) -> Column:
@@ -252,13 +272,13 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)"""
     found_ = with_spans(docs, text, [doc_id])
     count = lambda k: F.size(F.filter("_pii_base", lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found_.select(quoted(doc_id).alias("doc_id"), *map(count, BASE), F.sha2(F.encode(joined("_pii_base"), "UTF-8"), 256).alias("base_sha256"), joined("_pii_spans").alias("spans"))
+    return found_.select(F.col("_pii_row")[doc_id].alias("doc_id"), *map(count, BASE), F.sha2(F.encode(joined("_pii_base"), "UTF-8"), 256).alias("base_sha256"), joined("_pii_spans").alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of a text replaced by its kind in brackets; spans that overlap are replaced together."""
     found_ = with_spans(docs, text)
-    t = quoted(text)
+    t = F.col("_pii_row")[text]
     ordered = F.array_sort(F.transform("_pii_spans", lambda c: F.struct(c["start"].alias("a"), c["end"].alias("b"), c["kind"].alias("k"))))
 
     def step(acc, s):
@@ -268,5 +288,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
     clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    columns = [F.when(F.size("_pii_spans") > 0, clean).otherwise(t).alias(c) if c == text else quoted(c) for c in docs.columns if not c.startswith("_pii_")]
+    columns = [F.when(F.size("_pii_spans") > 0, clean).otherwise(t).alias(c) if c == text else F.col("_pii_row")[c].alias(c) for c in docs.columns]
     return found_.select(*columns)
