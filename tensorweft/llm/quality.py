@@ -9,8 +9,9 @@ The bands come from the documents themselves: for each half octave of lengths th
 texts (chunks) that pass the base rules, widened by FENCE times their distance. The fixed BANDS and CHUNK_BAND bound
 them, and hold alone where fewer than LEAST texts (chunks) have such a length.
 
-Nulls count as empty texts; an empty text has no words and fails. Repeated rows are judged alike. Other columns stay
-(annotate) or are left out (the query); one with the name of a computed column gives way to it.
+Nulls count as empty texts; an empty text has no words and fails. Repeated rows are judged alike, and count once for the
+bands. Texts are read whole, however long. A ratio on a limit is within it. An empty table gives an empty result. Other
+columns stay (annotate) or are left out (the query); one with the name of a computed column gives way to it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tensorweft.llm.common import annotate, emit
 
@@ -35,6 +37,8 @@ CHUNK_BAND = (1.35, 4.5)
 EDGES = tuple(math.ceil(2 ** (c / 2)) for c in range(80))
 #: Quartile distances that a band goes beyond the quartiles; texts that a class needs; least quartile distance as a share of the median.
 FENCE, LEAST, NARROWEST = 2.0, 50, 0.03
+#: Steps of a ratio of 1 that quartiles are told by; ratios from TOP on count as it.
+STEPS, TOP = 1024, 8
 #: A last chunk shorter than this isn't judged.
 CHUNK_LEAST = 1024
 MAX_BAD_CHUNKS = 0.5
@@ -119,7 +123,11 @@ def widened(found: dict[int, tuple[float, float, float]], fixed) -> tuple:
 
 
 def bands_of(docs: DataFrame, text: str = "text", chunk: int = CHUNK_BYTES, level: int = 3) -> tuple[tuple, tuple]:
-    """(bands of texts, bands of chunks), from the ratios of all distinct texts that pass the base rules; one pass, few rows shuffled."""
+    """(bands of texts, bands of chunks), from the ratios of all distinct texts that pass the base rules; one pass.
+
+    Ratios are counted by steps of 1 / STEPS, up to TOP, so the quartiles are exact ones of counts: the same on every run
+    and any partitioning. A length class has STEPS x TOP counts at most.
+    """
 
     def run(texts):
         import xxhash
@@ -133,7 +141,11 @@ def bands_of(docs: DataFrame, text: str = "text", chunk: int = CHUNK_BYTES, leve
         return tuple(zip(*rows)) if rows else ((),) * 4
 
     ratios = emit(docs, [text], run, "kind long, class long, ratio double, text long").distinct()
-    spread = ratios.groupBy("kind", "class").agg(F.count("*").alias("n"), F.percentile_approx("ratio", [0.25, 0.5, 0.75], 10000).alias("q")).filter(F.col("n") >= LEAST).collect()
+    steps = ratios.groupBy("kind", "class", F.floor(F.least("ratio", F.lit(TOP)) * STEPS).alias("step")).agg(F.count("*").alias("times"))
+    each = Window.partitionBy("kind", "class")
+    counted = steps.withColumn("n", F.sum("times").over(each)).withColumn("upto", F.sum("times").over(each.orderBy("step"))).filter(F.col("n") >= LEAST)
+    at = [F.min(F.when(F.col("upto") * 4 >= F.col("n") * k, F.col("step"))) / STEPS for k in (1, 2, 3)]
+    spread = counted.groupBy("kind", "class").agg(F.array(*at).alias("q")).collect()  # a row a length class
     return tuple(widened({r["class"]: tuple(r["q"]) for r in spread if r["kind"] == kind}, fixed) for kind, fixed in ((0, BANDS), (1, ((None, *CHUNK_BAND),))))
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -66,6 +67,57 @@ def test_quality_bands_from_documents(spark):
     assert sum(out[i].kept for i in range(len(clean))) >= 0.97 * len(clean)
 
 
+def plain_kept(texts):
+    """The verdicts by brute force: ratios, quartiles of sorted lists, widened bands, whole texts and chunks of 4096 bytes."""
+    z = zstandard.ZstdCompressor(level=3)
+    ratio = lambda b: len(b) / len(z.compress(b))
+    octave = lambda b: max(c for c in range(80) if math.ceil(2 ** (c / 2)) <= len(b))
+    chunks = lambda b: [b[i : i + 4096] for i in range(0, len(b), 4096) if len(b[i : i + 4096]) >= 1024] if len(b) > 4096 else []
+    passes = lambda t: plain_counts(t)[0] >= 50 and 2 * plain_counts(t)[4] <= plain_counts(t)[0]
+    known = {t.encode() for t in texts if passes(t)}
+    tables = []
+    for pieces in (known, {c for t in known for c in chunks(t)}):
+        by = {}
+        for p in pieces:
+            by.setdefault(octave(p), []).append(math.floor(min(8, ratio(p)) * 1024) / 1024)
+        table = {}
+        for c, x in by.items():
+            x.sort()
+            if len(x) >= 50:
+                q = [x[math.ceil(len(x) * k / 4) - 1] for k in (1, 2, 3)]
+                room = 2 * max(q[2] - q[0], 0.03 * q[1])
+                table[c] = (q[0] - room, q[2] + room)
+        tables.append(table)
+    fixed = lambda n: (1.10, 2.8) if n < 512 else (1.25, 3.2) if n < 1024 else (1.40, 3.8) if n < 4096 else (1.55, 4.5) if n < 16384 else (1.65, 6.0)
+
+    def fits(b, whole):
+        c = octave(b)
+        low, high = fixed(math.ceil(2 ** (c / 2))) if whole else (1.35, 4.5)
+        if c in tables[not whole]:
+            low, high = max(low, tables[not whole][c][0]), min(high, tables[not whole][c][1])
+        return low <= ratio(b) <= high
+
+    out = []
+    for t in texts:
+        b = t.encode()
+        parts = chunks(b)
+        out.append(bool(passes(t) and fits(b, True) and sum(not fits(p, False) for p in parts) <= 0.5 * len(parts)))
+    return out
+
+
+def test_verdicts_by_brute_force(spark):
+    """Every verdict over texts of many lengths, odd ones among them, is that of the plain version, on any partitioning."""
+    r = random.Random(12)
+    texts = [words(r.randint(60, 200), k, 300) for k in range(300)] + [words(r.randint(1500, 4000), 1000 + k, 900) for k in range(60)]
+    texts += [" ".join(f"{r.choice('abc')}{r.randrange(9)} {words(2, k + j, 5)}" for j in range(60)) for k in range(20)]
+    texts += [base64.b64encode(r.randbytes(900)).decode().replace("A", " ").replace("b", " ").replace("c", " ") for _ in range(30)]
+    want = plain_kept(texts)
+    assert 20 < want.count(False) < 200
+    for parts in (1, 5):
+        out = quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)).collect()
+        assert [x.kept for x in sorted(out, key=lambda x: x.doc_id)] == want
+
+
 def test_quality_empty_and_clashes(none, clashing):
     assert quality.quality(none).count() == 0
     out = quality.quality(clashing)
