@@ -10,7 +10,9 @@ labelled urls with the same last one, two and three host labels. A training url
 The trees are trained on at most SAMPLE labelled urls, those with the smallest hashes of the url, so the fit is bounded
 and the same on every run; scoring covers all rows. Without labelled urls of both kinds the method allows everything
 (or blocks, if all labels say so). Null urls and urls without :// have an empty host and path and no rule, and are scored
-like others. Repeated rows get the same verdict.
+like others, as are very long ones, which are read whole. Repeated rows get the same verdict, and count once in training.
+A score of just the threshold blocks. Empty tables give empty results. Other columns stay (judge) or those of keep; one
+with the name of a computed column gives way to it.
 """
 
 from __future__ import annotations
@@ -221,7 +223,14 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", sample: i
     """Fit on the `sample` labelled urls with the smallest hashes; suffixes are counted over all of them."""
     few = labelled.select(quoted(url).alias("url"), quoted(label).cast("int").alias("label")).filter("label IS NOT NULL").distinct()
     counts = suffix_counts(few)
-    rows = few.orderBy(F.xxhash64("url"), "url", "label").limit(sample).collect()
+    n = few.count()
+    # of many urls only those below a hash that leaves half as many again as needed go on to be sorted
+    least = -(1 << 63) + int((1 << 64) * min(1.0, 1.5 * sample / max(1, n)))
+    some = few.filter(F.xxhash64("url") < F.lit(min(least, (1 << 63) - 1))) if n > 2 * sample else few
+    order = (F.xxhash64("url"), "url", "label")
+    rows = some.orderBy(*order).limit(sample).collect()
+    if n > 2 * sample and len(rows) < sample:
+        rows = few.orderBy(*order).limit(sample).collect()
     urls, labels = [r[0] for r in rows], [r[1] for r in rows]
     wanted = sorted({x for u in urls for x in enumerate(suffixes(split_url(u)[0]))})
     there = counts.join(F.broadcast(labelled.sparkSession.createDataFrame(wanted, "k int, suffix string")), ["k", "suffix"], "left_semi").collect()
