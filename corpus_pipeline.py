@@ -2,6 +2,11 @@
 
 run() applies the stages to documents, each to the whole written result of the one before. The first four return the
 columns of documents; the last adds size, source_size, target and taken, for documents that the mix takes words of.
+
+Nulls and empty texts have no words, so the first stage rejects them; so it does tables' rows without a text, and a null
+id or source stays a value of its own. Texts are read whole, however long. Repeated rows and equal texts are one group of
+the second stage, of which the smallest id stays. Empty tables give empty results. Columns beyond those of documents pass
+through the first four stages, whatever their names.
 """
 
 from __future__ import annotations

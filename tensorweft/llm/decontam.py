@@ -9,7 +9,7 @@ The broadcast tables' size follows the benchmark, not the corpus, and is checked
 BLOCK_BYTES, each a broadcast of its own. The texts are read once; a slice of them meets the blocks one after the other.
 
 Null and empty texts have no words: no hits, not contaminated. Items without words have no window. Repeated items and
-rows count once and each. A null item_id marks words but is not listed. A column named as a computed one gives way.
+rows count once and each. Texts are read whole, however long. Empty tables give empty results, or no hits. A null item_id marks words but is not listed. A column named as a computed one gives way.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@
 A shard has about SHARD documents by a hash of their ids, so a hot source has many; no window holds a source's documents
 or all its shards, but GROUP shards, or the groups, 17 million documents each. The sources meet in one window, one row each.
 Null texts and texts without words have size 0 and are taken for 0. Rows without an id are drawn by their size.
-Equal rows get what the order gives them; which of them gets more doesn't show. An empty table gives an empty result.
+Equal rows get what the order gives them; which of them gets more doesn't show. An empty table gives an empty result. Texts are counted whole, however long. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ dictionary of identifiers and code words primed: natural words and identifiers a
 Candidates whose added share reaches NOVELTY are reported as kind novel.
 
 Positions are code points of the text; all matching is on UTF-8 bytes with ASCII classes, which is the same for these
-patterns. Null and empty texts have no spans. Repeated rows are scanned alike. A column named as a computed one gives way.
+patterns. Null and empty texts have no spans; texts are read whole, and tokens of any length judged whole. Of spans that
+start together the kinds come as listed. Repeated rows are scanned alike. An empty table gives an empty result. A column
+named as a computed one gives way.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ extended to the next:
 
 Hot passages meet as partial sums (smallest and count) first; the way back is a join that Spark may split by rows.
 Documents are told apart by doc_id: rows of one id don't remove each other, repeated rows lose the same words. Rows
-without an id neither remove nor lose. Null texts have no words. A text without a window of the target length stays.
+without an id neither remove nor lose; ids are integers, and others are refused. Null texts have no words. A text without
+a window of the target length stays; texts are read whole, however long. An empty table gives an empty result. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -213,10 +215,16 @@ def _extended(target: int, length: int, parts: int):
     return run
 
 
+def checked(docs: DataFrame, doc_id: str) -> None:
+    if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be a column of integers, whose order says which document keeps a passage")
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target: int = TARGET) -> DataFrame:
     """(doc_id, high, low): for each document with any, the hashes of its target-length windows that a smaller one has.
     """
     length = levels(target)[-2] if target > 1 else 1
+    checked(docs, doc_id)
     named = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     choices = emit(named, ["text", "doc_id"], _choices(target, length), "anchor long, doc_id long")
     choices = materialise(choices, "choices")

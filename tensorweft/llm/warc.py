@@ -10,7 +10,8 @@ were committed are listed in the written table of packages, so a lost executor l
 
 Of records with equal payloads of at least LEAST bytes the one with the smallest id is the response and the others are
 revisits that refer to it; smaller payloads are always responses. A null payload is empty. Rows that repeat an id with
-the same payload are responses alike; a null id is never the smallest, and refers like any other.
+the same payload are responses alike; a null id is never the smallest, and refers like any other. Payloads are written
+whole, however long. An empty table gives no packages and no records. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
