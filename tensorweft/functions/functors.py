@@ -1,4 +1,4 @@
-"""Named methods, predicates and external data that programs and operations refer to."""
+"""Named methods, predicates, readers and external data that programs and operations refer to."""
 
 from __future__ import annotations
 
@@ -9,17 +9,39 @@ import pandas as pd
 from pyspark.sql import Column
 
 from tensorweft.operators.elementwise import transform
+from tensorweft.operators.reduce import argmax
 from tensorweft.operators.tensor import VALUE, Tensor, TensorError, c, dense, from_function, settled
 
 
+def _largest(t: Tensor) -> tuple[complex | float, tuple[int, ...]] | None:
+    """The element of the largest modulus with its coordinates; of equals that with the smallest ones."""
+    row = argmax(t).first()
+    if row is None:
+        return None
+    return complex(row["re"], row["im"]) if t.complex else row["v"], tuple(row[d] for d in t.dims)
+
+
+#: Readers that are always there, under the names that programs know them by (fixed values).
+READERS: dict[str, Callable[[Tensor], object]] = {
+    "_RetrieveScalar_": Tensor.get_scalar,
+    "_RetrieveTensor_": Tensor.to_numpy,
+    "_TensorMax_": _largest,
+    "_PrintTensor_": Tensor.show,
+}
+
+
 @dataclass
 class Registry:
-    """methods: f(value column, *coordinate columns) to a column. blocks: f(DataFrame of coordinates and values) to one."""
+    """methods: f(value column, *coordinate columns) to a column. blocks: f(DataFrame of coordinates and values) to one.
+
+    readers: f(tensor) to anything; what they bring to the driver is theirs to bound.
+    """
 
     methods: dict[str, Callable[..., Column]] = field(default_factory=dict)
     blocks: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = field(default_factory=dict)
     predicates: dict[str, Callable[..., Column]] = field(default_factory=dict)
     data: dict[str, complex | float] = field(default_factory=dict)
+    readers: dict[str, Callable[[Tensor], object]] = field(default_factory=READERS.copy)
 
     def register_method(self, name: str, f: Callable[..., Column]) -> None:
         self._free(name)
@@ -35,6 +57,16 @@ class Registry:
         self.methods.pop(name, None)
         self.blocks.pop(name, None)
 
+    def register_reader(self, name: str, f: Callable[[Tensor], object]) -> None:
+        self._free(name)
+        self.readers[name] = f
+
+    def read(self, t: Tensor, name: str) -> object:
+        """What the reader of that name makes of t."""
+        if name not in self.readers:
+            raise TensorError(f"no such reader: {name}")
+        return self.readers[name](t)
+
     def register_predicate(self, name: str, f: Callable[..., Column]) -> None:
         self.predicates[name] = f
 
@@ -47,7 +79,7 @@ class Registry:
     def _free(self, name: str) -> None:
         if len(name) > 64:
             raise TensorError("method names have 64 characters at most")
-        if name in self.methods or name in self.blocks:
+        if name in self.methods or name in self.blocks or name in self.readers:
             raise TensorError(f"{name} is registered already")
 
     # -- application

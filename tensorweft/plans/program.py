@@ -14,8 +14,9 @@
 A label stands for the range of its subspace; a tensor keeps the ranges that it was created with, and naming it with
 labels of other ranges means that slice, in reads and in writes. A label that isn't declared takes the range of the
 tensor's dimension. Literal ranges (10:34) are dimensions of the unnamed space. `=` overwrites, `+=` and `-=` add, `*=` and `/=` scale;
-`=>` defers a method to the first use, or makes the name a placeholder of a network that uses expand. Conditions behind
-a last colon keep the elements that meet them: [i<j<k], [a>=b], [predicate:a,b]. Scopes see their own tensors only;
+`=>` defers a method to the first use, or makes the name a placeholder of a network that uses expand. A tensor assigned to
+such a placeholder is factorised into the network's factors, whose bonds have the ranges declared for their labels; a line
+A+(i,c) * A(i,d) = DELTA(c,d) makes sure that a factor's columns are orthonormal, or zero. Conditions behind a last colon keep the elements that meet them: [i<j<k], [a>=b], [predicate:a,b]. Scopes see their own tensors only;
 export and import pass them on, to the groups named and with the rights given.
 """
 
@@ -27,11 +28,13 @@ from dataclasses import dataclass, field
 from urllib.parse import quote
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tensorweft.functions.functors import Registry
 from tensorweft.operators import elementwise as E
 from tensorweft.operators.algebra import add, add_pattern, contract
-from tensorweft.operators.tensor import Tensor, TensorError, as_complex, c
+from tensorweft.operators.factorise import factorise
+from tensorweft.operators.tensor import Tensor, TensorError, as_complex, c, modulus, settled
 from tensorweft.plans import pattern as P
 from tensorweft.plans.network import contract_network
 from tensorweft.sources.storage import load, save
@@ -324,6 +327,9 @@ class Program:
     # ------------------------------------------------------------ operations
 
     def _operation(self, f: Frame, line: str) -> None:
+        if m := re.fullmatch(rf"\s*({_TENSOR.pattern})\s*\*\s*({_TENSOR.pattern})\s*=\s*(DELTA\([^()]*\))\s*", line):
+            self._orthonormal(f, self._ref(f, m[1]), self._ref(f, m[5]), self._ref(f, m[9]))
+            return
         m = re.match(r"\s*([^=+*/~>-]+?\+?\([^()]*\))\s*(\+=|-=|\*=|/=|=>|=)\s*(.*)\Z", line)
         if not m:
             raise ProgramError(f"no statement: {line}")
@@ -372,6 +378,11 @@ class Program:
             raise ProgramError(f"{op} takes a number")
         if op == "-=":
             factor = -factor
+        if op == "=" and dest.name in f.tensors and f.tensors[dest.name].network and len(inputs) == 1 and set(dest.labels) == set(inputs[0].labels):
+            if conditions:
+                raise ProgramError("conditions on a factorisation")
+            self._factorise(f, dest, inputs[0], factor)
+            return
         known = self._ranges_of(f, inputs)
         if len(inputs) == 1 and (set(dest.labels) != set(inputs[0].labels)) and len(set(inputs[0].labels)) == len(inputs[0].labels):
             made, ranges = self._folded(f, dest, inputs[0], known)
@@ -409,6 +420,35 @@ class Program:
             return t if factor == 1 else E.scale(t, factor)
         return add_pattern(p, tensors[0], factor=factor)
 
+    def _factorise(self, f: Frame, dest: Ref, source: Ref, factor: complex) -> None:
+        shape, parts, own = f.tensors[dest.name].network
+        t, ranges = self._read(f, source)
+        t = E.permute(t.relabel(source.labels), list(dest.labels))
+        if t.known() != tuple(r.extent for r in f.tensors[dest.name].ranges):
+            raise ProgramError(f"{source.name} has extents {t.known()}")
+        if not own:
+            raise ProgramError("a network times zero has no factors")
+        lengths = self._ranges_of(f, parts) | {x: r for ref in parts for x, r in zip(ref.labels, ref.ranges) if r}
+        operand = lambda r: P.Operand(r.name, r.labels, r.conj)
+        t = E.scale(t, factor / own) if factor != own else t
+        made = factorise(P.Pattern(operand(shape), tuple(map(operand, parts)), "="), t, {x: r.extent for x, r in lengths.items() if r})
+        for ref, part in zip(parts, made):
+            at = {**lengths, **dict(zip(shape.labels, f.tensors[dest.name].ranges))}
+            self._write(f, ref, tuple(at[x] for x in ref.labels), lambda _, part=part: part)
+
+    def _orthonormal(self, f: Frame, left: Ref, right: Ref, delta: Ref) -> None:
+        """Products of different columns are 0, a column's with itself is 1, or 0 where it has no elements."""
+        known = self._ranges_of(f, [left, right])
+        ranges = tuple(known.get(x) or r for x, r in zip(delta.labels, delta.ranges))
+        if len(delta.labels) != 2 or None in ranges:
+            raise ProgramError("DELTA has two labels of known ranges")
+        t = self._evaluate(f, delta, [left, right], 1.0, dict(zip(delta.labels, ranges)))
+        size = modulus(t)
+        wrong = F.when(c(t.dims[0]) == c(t.dims[1]), F.least(size, F.abs(size - 1))).otherwise(size)
+        found = settled(t).df.select(F.max(wrong)).first()[0]
+        if found is not None and not found <= 1e-8:
+            raise ProgramError(f"{left.name}'s columns aren't orthonormal")
+
     def _folded(self, f: Frame, dest: Ref, source: Ref, known: dict[str, Range]) -> tuple[Tensor, tuple[Range, ...]]:
         t, ranges = self._read(f, source)
         t = t.relabel(source.labels)

@@ -18,6 +18,7 @@ from tensorweft.operators import elementwise as E
 from tensorweft.operators import linalg, reduce, views
 from tensorweft.operators.algebra import add, add_pattern, contract, custom, inner, matmul
 from tensorweft.operators.blocked import contract_blocked
+from tensorweft.operators.factorise import factorise
 from tensorweft.operators.tensor import Tensor, from_function, full, random
 from tensorweft.plans import network, spaces
 from tensorweft.plans import pattern as P
@@ -454,6 +455,18 @@ def svd_absorbed(spark, d):
     return contract("D(i,j)+=L(i,m)*R(m,j)", left, right).df.select("i", "j", F.round("v", 8).alias("v"))
 
 
+_CHAIN = "D(k,a,i)=F(k,x)*G(x,a,y)*H(y,i)"
+
+
+@query(WITH + "SELECT k, a, i, round(v, 8) AS v FROM T")
+def network_decomposition(spark, d):
+    """A chain of three factors with bonds as long as their ranks can be, multiplied again."""
+    t = T3(spark, d).relabel(("k", "a", "i"))
+    k, _, i = t.known()
+    made = network.contract_network(_CHAIN, *factorise(_CHAIN, t, {"x": k, "y": i}))
+    return made.df.select("k", "a", "i", F.round("v", 8).alias("v"))
+
+
 @query("SELECT x, y, CAST(CASE WHEN x = y THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(8) t(x), range(8) u(y)")
 def orthogonalisation(spark, d):
     """Products of the columns of the orthogonal tensor next to A: the unit matrix."""

@@ -197,6 +197,20 @@ def deferred_operations(spark, d):
     return Runtime.discard(t).df
 
 
+@query(WITH + "SELECT o, s, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT o, s, 2 * v AS v FROM Q UNION ALL SELECT o, s, v FROM N) GROUP BY ALL")
+def deferred_arguments(spark, d):
+    """An addition put together first and run later."""
+    late = Runtime(spark).defer("sum").argument(0, N(spark, d)).argument(1, Q(spark, d)).specify("D(o,s)+=L(o,s)", 2.0)
+    late.execute()
+    return late.output().df
+
+
+@query(WITH + "SELECT o, s, v FROM Q ORDER BY abs(v) DESC, o, s LIMIT 1")
+def largest_by_name(spark, d):
+    value, (o, s) = Registry().read(Q(spark, d), "_TensorMax_")
+    return spark.createDataFrame([(o, s, value)], "o long, s long, v double")
+
+
 @query(WITH + "SELECT CAST(o // 4096 AS BIGINT) AS b_o, CAST(s // 32 AS BIGINT) AS b_s, count(*) AS n FROM Q GROUP BY ALL")
 def block_decomposition(spark, d):
     """Rows in each block of 4096 orders and 32 suppliers."""

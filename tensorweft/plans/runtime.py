@@ -1,4 +1,4 @@
-"""The engine's session: start and stop, asynchronous tasks, statistics and switches.
+"""The engine's session: start and stop, asynchronous tasks, deferred operations, statistics and switches.
 
 Operations only build plans; sync() runs them. A task runs one action on a thread of its own, so that several plans are
 under way at a time and share the executors; a task that waits for others is given them as `after`.
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
-from tensorweft.operators.algebra import contract
+from tensorweft.operators.algebra import add_pattern, contract
 from tensorweft.operators.blocked import contract_blocked
 from tensorweft.operators.elementwise import initialise
 from tensorweft.operators.tensor import Tensor, TensorError
@@ -47,6 +47,78 @@ class Task:
         return self.future.result(timeout)
 
 
+@dataclass
+class Deferred:
+    """An operation that is put together first and run later: arguments in any order, then a pattern, then a task.
+
+    Two arguments are contracted, one is added, more are a network; the first argument set, number 0, is what the result
+    is added to (none: the result alone). Its result is kept by the executors until it is cleared.
+    """
+
+    runtime: Runtime
+    name: str = "operation"
+    arguments: dict[int, Tensor] = field(default_factory=dict)
+    pattern: P.Pattern | None = None
+    factor: complex | float = 1.0
+    task: Task | None = None
+    result: Tensor | None = None
+
+    def argument(self, number: int, t: Tensor) -> Deferred:
+        self._still()
+        self.arguments[number] = t
+        return self
+
+    def specify(self, p: P.Pattern | str, factor: complex | float = 1.0) -> Deferred:
+        self._still()
+        self.pattern, self.factor = P.parse(p) if isinstance(p, str) else p, factor
+        return self
+
+    @property
+    def status(self) -> str:
+        """empty, partial (something is missing), specified, or the task's"""
+        if self.task:
+            return self.task.status
+        if not self.arguments and self.pattern is None:
+            return "empty"
+        return "specified" if self.pattern is not None and set(self.arguments) - {0} == set(range(1, len(self.pattern.inputs) + 1)) else "partial"
+
+    def execute(self, after: Sequence[Deferred] = ()) -> Task:
+        """Starts the operation, once those before it are done."""
+        if self.status != "specified":
+            raise TensorError(f"{self.name} is {self.status}")
+        if waiting := [x.name for x in after if x.task is None]:
+            raise TensorError(f"{waiting} weren't started")
+        p, into = self.pattern, self.arguments.get(0)
+        inputs = [self.arguments[i] for i in range(1, len(p.inputs) + 1)]
+        if len(inputs) == 1:
+            self.result = add_pattern(p, *inputs, into=into, factor=self.factor)
+        elif len(inputs) == 2:
+            self.result = self.runtime.contract(p, *inputs, into=into, factor=self.factor)
+        else:
+            self.result = network.contract_network(p, *inputs, into=into, factor=self.factor)
+        self.task = self.runtime.submit(self.result.df.cache().count, self.name, [x.task for x in after])
+        return self.task
+
+    def output(self, timeout: float | None = None) -> Tensor:
+        """The result, once it is there."""
+        if self.task is None:
+            raise TensorError(f"{self.name} wasn't started")
+        self.task.wait(timeout)
+        return self.result
+
+    def clear(self) -> Deferred:
+        """Back to an empty one; a task that is under way is waited for."""
+        if self.task is not None:
+            wait([self.task.future])
+            self.result.df.unpersist()
+        self.arguments, self.pattern, self.factor, self.task, self.result = {}, None, 1.0, None, None
+        return self
+
+    def _still(self) -> None:
+        if self.task is not None:
+            raise TensorError(f"{self.name} was started already")
+
+
 @dataclass
 class Runtime:
     spark: SparkSession
@@ -107,6 +179,9 @@ class Runtime:
         rows = t.df._jdf.queryExecution().optimizedPlan().stats().rowCount()
         return bool(t.volume) and rows.isDefined() and int(rows.get().toString()) >= DENSE * t.volume
 
+    def defer(self, name: str = "operation") -> Deferred:
+        return Deferred(self, name)
+
     # -- tasks
 
     def submit(self, action: Callable[[], object], name: str = "task", after: Sequence[Task] = ()) -> Task:
