@@ -15,8 +15,8 @@ from tensorweft.operators.tensor import Tensor, TensorError
 from tensorweft.plans import pattern as P
 
 EXACT = 10
-#: Extent that an unknown one counts as.
-UNKNOWN = 1000
+#: Extent that an unknown one counts as where nothing is known of the rows either, and the most that rows make of one.
+UNKNOWN, MOST = 1000, 10**9
 
 
 def flops(labels: Sequence[Sequence[str]], sizes: dict[str, int], complex_kind: bool = False) -> float:
@@ -34,13 +34,27 @@ def intensity(labels: Sequence[Sequence[str]], sizes: dict[str, int], kind: str
     return flops(labels, sizes, kind[0] == "C") / moved_bytes(labels, sizes, kind)
 
 
+def estimated_rows(t: Tensor) -> float | None:
+    """By the optimiser's size of the plan, without running anything; None where it has none."""
+    size = int(str(t.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if size >= 1 << 60 else size / (8 * (1 + t.rank + len(t.values)))
+
+
 def label_sizes(p: P.Pattern, tensors: Sequence[Tensor]) -> dict[str, int]:
+    """Extents of all labels. Unknown ones of a tensor share its estimated rows; of several tensors the largest share holds."""
     out: dict[str, int] = {}
     for o, t in zip(p.inputs, tensors, strict=True):
         for x, n in zip(o.labels, t.extents, strict=True):
             if n is not None and out.setdefault(x, n) != n:
                 raise TensorError(f"label {x} has extents {out[x]} and {n}")
-    return {x: out.get(x, UNKNOWN) for o in p.inputs for x in o.labels}
+    guess: dict[str, int] = {}
+    for o, t in zip(p.inputs, tensors, strict=True):
+        unknown = {x for x in o.labels if x not in out}
+        rows = estimated_rows(t) if unknown else None
+        if rows is not None:
+            share = (rows / prod(max(1, out[x]) for x in set(o.labels) - unknown)) ** (1 / len(unknown))
+            guess |= {x: max(guess.get(x, 2), min(MOST, int(share))) for x in unknown}
+    return {x: out[x] if x in out else guess.get(x, UNKNOWN) for o in p.inputs for x in o.labels}
 
 
 def _kept(own: frozenset[int], p: P.Pattern) -> tuple[str, ...]:

@@ -177,7 +177,7 @@ class Runtime:
     def _dense(t: Tensor) -> bool:
         """By the optimiser's estimate of the rows, without running anything; unknown sizes count as sparse."""
         rows = t.df._jdf.queryExecution().optimizedPlan().stats().rowCount()
-        return bool(t.volume) and rows.isDefined() and int(rows.get().toString()) >= DENSE * t.volume
+        return bool(t.volume) and rows.isDefined() and int(str(rows.get())) >= DENSE * t.volume
 
     def defer(self, name: str = "operation") -> Deferred:
         return Deferred(self, name)

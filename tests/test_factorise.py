@@ -145,3 +145,12 @@ def test_readers(spark):
         registry.register_method("rank", lambda v: v)
     with pytest.raises(TensorError):
         registry.read(t, "none")
+
+
+def test_algorithm_by_estimated_rows(spark):
+    """The rows of a tensor that executors keep are known to the optimiser, so it is seen to be dense."""
+    run = Runtime(spark)
+    t = Tensor(spark.range(6).selectExpr("id DIV 3 AS i", "id % 3 AS j", "1.0D AS v").cache(), ("i", "j"), (2, 3))
+    assert t.df.count() == 6
+    assert run._dense(t) and not run._dense(Tensor.zeros(spark, "ij", (2, 3)))
+    assert np.allclose(run.contract("D(i,k)+=L(i,j)*R(k,j)", t, t).to_numpy(), np.full((2, 2), 3.0))

@@ -111,6 +111,16 @@ def test_networks(spark, text):
     assert np.allclose(got.to_numpy(), 2 * einsum(p, *arrays))
 
 
+def test_sizes_of_unknown_extents(spark):
+    """A label of a long table counts for more than one of a short one, and known extents stay."""
+    table = lambda n, a, b: Tensor.from_table(spark.range(n), {a: "id", b: "id"})
+    long, short = table(10**6, "i", "a"), table(100, "a", "b")
+    sizes = network.label_sizes(P.parse("D(i,b)+=L(i,a)*R(a,b)"), (long, short))
+    assert sizes["i"] == sizes["a"] > 10 * sizes["b"] > 0
+    known = Tensor.zeros(spark, ("a", "b"), (7, 0))
+    assert network.label_sizes(P.parse("D(i,b)+=L(i,a)*R(a,b)"), (long, known))["a"] == 7
+
+
 def test_orders():
     p = P.parse("N(i,l)+=A(i,a)*B(a,b)*C(b,l)")
     cheap = network.plan(p, {"i": 100, "a": 100, "b": 100, "l": 1})
