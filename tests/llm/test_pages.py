@@ -131,6 +131,68 @@ def test_repeated_paragraphs_are_no_template(spark):
     assert all("same line" in x.text and x.text.count("\n") == 3 for x in got)
 
 
+def test_all_pages_make_the_wrapper(spark):
+    """Five pages of 200 have a list of links in their article, and each page has a class of its own: no sample would tell."""
+    r = random.Random(6)
+    some = lambda k: " ".join("".join(r.choices("abcdefghijk", k=r.randint(2, 8))) for _ in range(k))
+    rows, want = [], {}
+    for i in range(200):
+        blocks = [some(5)] + [some(r.randint(8, 20)) for _ in range(r.randint(2, 4))]
+        links = "".join(f"<li><a href='/{k}'>{some(2)}</a></li>" for k in range(3)) if i % 40 == 7 else ""
+        body = f"<h1>{blocks[0]}</h1><div class='{'abcdefghij'[i % 10]}{'abcdefghijklmnopqrst'[i // 10]}q'>" + "".join(f"<p>{b}</p>" for b in blocks[1:]) + "</div>"
+        rows.append((i, f"http://a.b/{i}", f"<article>{body}{links and f'<ul>{links}</ul>'}</article>"))
+        want[i] = "\n".join(blocks)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for limit in (1 << 25, 0):
+        got = htmlwrap.extract(df, broadcast_bytes=limit).collect()
+        assert {x.page_id: x.text for x in got} == want
+        assert all(x.wrapped and x.n_decided == 3 * (x.page_id % 40 == 7) for x in got)
+
+
+def test_links_are_counted_over_all_pages(spark):
+    """A slot that is a link on most pages of a host, and mostly text over all of them, is the article's."""
+    slot = lambda i: f"{'word ' * 200}{i}" if i % 25 == 3 else f"<a href=x>link {i}</a>"
+    rows = [(i, f"http://h{i % 6}.b/{i}", f"<article><h1>t{i}</h1><div>{slot(i)}</div></article>") for i in range(600)]
+    got = htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.page_id: x.text for x in got} == {i: f"t{i}\n" + slot(i).replace("<a href=x>", "").replace("</a>", "") for i in range(600)}
+
+
+def test_rare_classes():
+    """Elements whose classes few pages have share a slot, whose links don't tell of the others' text."""
+    html = lambda i: f"<article><h1>t{i}</h1><div class='{'abcdefghijkl'[i]}'>{f'text {i}' if i < 3 else f'<a href=x>a link of some length {i}</a>'}</div></article>"
+    nested, *_ = [json.loads(htmlwrap.shape_of(htmlwrap.Page(html(i)))) for i in range(12)]
+    assert set(htmlwrap.classes_of(nested)) == {"div a"} and json.dumps(htmlwrap.without(nested, frozenset(["div a"]))) == json.dumps(nested).replace("div a", "div *")
+    items = [[htmlwrap.ELEMENT, False, False, "article", [[htmlwrap.ELEMENT, False, False, x, [[htmlwrap.SLOT, False, False, "", []]]] for x in ("h1", "div *")]]]
+    sums = [12, "0", "f", 300, 320, 1, 1]
+    wrapper = htmlwrap.Wrapper(*json.loads(htmlwrap.finished(items, {0: [12, "0", "f", 0, 30, 1, 1], 1: sums}, [])))
+    assert wrapper.roles == "++" and htmlwrap.role(True, True, *sums) == "-"
+    assert all(wrapper.read(htmlwrap.Page(html(i)))[1] for i in range(12)) and htmlwrap.main_text(html(1), wrapper)[0] == "t1\ntext 1"
+
+
+def test_many_shapes(spark, monkeypatch):
+    """Wrappers of buckets of shapes become one that all pages match."""
+    monkeypatch.setattr(htmlwrap, "FAN", 4)
+    r = random.Random(13)
+    rows = [(i, f"http://{'a' if i % 9 else 'b'}/{i}", random_page(r)) for i in range(150)] + [(150, "http://a/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got, again = (sorted(map(tuple, htmlwrap.extract(x).collect())) for x in (df, df.repartition(5)))
+    assert len(got) == 151 and all(wrapped for *_, wrapped, _ in got) and got == again
+
+
+@pytest.mark.parametrize("kinds, held", [(5000, 400), (100, 2), (1, 1)])
+def test_bags(monkeypatch, kinds, held):
+    """A list of many unlike children matches in any order, and so do others of these kinds."""
+    monkeypatch.setattr(htmlwrap, "KINDS", kinds)
+    names = ["".join(x) for x in zip("abcdefghijklmnopqrst" * 20, (y for x in "abcdefghijklmnopqrst" for y in x * 20))]
+    page = lambda few: "<article>" + "".join(f"<{'div' if x < 'k' else 'p'} class='{x}'>{x}</{'div' if x < 'k' else 'p'}>" for x in few) + "</article>"
+    htmls = [page(names), page(names[::-1]), page(names[:3]), "<article></article>"]
+    items, *more = inferred(*htmls)
+    assert len(items[0][4]) == 1 and len(items[0][4][0][4]) == held
+    for h in htmls:
+        slots, whole = htmlwrap.Wrapper(items, *more).read(page := htmlwrap.Page(h))
+        assert whole and len(slots) == len(page.blocks)
+
+
 def test_no_pages(spark):
     assert htmlwrap.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
