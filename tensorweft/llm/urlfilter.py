@@ -34,7 +34,7 @@ TREES, DEPTH, RATE, BINS, LEAF = 40, 3, 0.3, 32, 5
 SMOOTH = 2.0
 THRESHOLD = 0.5
 
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Terms that label a url for training (a seed list): a host label with one of them is bad.
 BAD_TERMS = ("adult", "ads", "bet", "bets", "betting", "bingo", "casino", "cheap", "dating", "escort", "farm", "free", "gambling", "jackpot", "loan", "loans", "lottery", "pharma", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "warez", "win", "xxx")
 
