@@ -4,12 +4,16 @@ A contraction is an equi-join on the labels that both inputs have, a product and
 sum is partial on the map side and Catalyst picks the join. Labels that nothing sums need no aggregation. Products
 without a shared label have no key to join by: the side that is small, by a count of it, is broadcast; if neither is,
 both are dealt over a grid of blocks, so that no task holds a whole side.
+
+A contraction that is told to spread deals its rows over as many tasks as their number needs (see Spread), and sums and
+joins within these tasks, so that a task's memory doesn't grow with the input.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +23,25 @@ from tensorweft.plans import pattern as P
 
 #: Bytes that a broadcast side of a product has at most.
 BROADCAST_BYTES = 16 << 20
+#: Rows of a task of an operation that spreads.
+TASK_ROWS = 1 << 18
+
+
+@dataclass(frozen=True)
+class Spread:
+    """Rows go to tasks by the hash of their coordinates in labels: for many coordinates that have few rows each."""
+
+    labels: tuple[str, ...]
+    tasks: int
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        """df, with the number of each row's task in _task. What keeps this column is grouped or joined by it without a shuffle."""
+        return df.withColumn("_task", F.pmod(F.xxhash64(*[c(x).cast("bigint") for x in self.labels]), F.lit(self.tasks)).cast("int")).repartitionById(self.tasks, F.col("_task"))
+
+
+def tasks(df: DataFrame) -> int:
+    """That a spread operation on df's rows needs, by a count of them; as many as a shuffle has at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
 
 
 def _pattern(p: P.Pattern | str) -> P.Pattern:
@@ -84,11 +107,19 @@ def joined(left: DataFrame, right: DataFrame, on: Sequence[str], row_bytes: int
     return spread(left, "_i", "_j").join(spread(right, "_j", "_i"), ["_i", "_j"]).drop("_i", "_j")
 
 
-def contract(p: P.Pattern | str, left: Tensor, right: Tensor, into: Tensor | None = None, factor: complex | float = 1.0, accumulate: bool = True, restrict: Column | None = None) -> Tensor:
+def _dealt(t: Tensor, df: DataFrame, spread: Spread) -> DataFrame:
+    """The rows of df, _valued of t, with their tasks and a row per coordinate."""
+    out = spread.deal(df)
+    return out.groupBy(*map(c, t.dims), "_task").agg(*[F.sum(n).alias(n) for n in df.columns[t.rank :]]) if t.unsummed else out
+
+
+def contract(p: P.Pattern | str, left: Tensor, right: Tensor, into: Tensor | None = None, factor: complex | float = 1.0, accumulate: bool = True, restrict: Column | None = None, spread: Spread | None = None) -> Tensor:
     """into += factor x left x right, by labels; without `into`, or with accumulate=False, the product alone.
 
     restrict: a condition on the labels of both inputs, applied before anything is summed. A conjugated destination
     (`D+(...)`) toggles the conjugation of both inputs; the factor stays.
+
+    spread: deals the inputs that have its labels, one at least, over its tasks; of its labels an input has all or none.
     """
     p = P.check_pair(_pattern(p))
     left, right = _bound(p, (left, right))
@@ -96,11 +127,26 @@ def contract(p: P.Pattern | str, left: Tensor, right: Tensor, into: Tensor | Non
     if complex(factor * p.factor).imag:
         kind = "C" + kind[1]
     toggled = [o.conj != p.dest.conj for o in p.inputs]
-    both = joined(_valued(left, "l", toggled[0]), _valued(right, "r", toggled[1]), p.shared())
+    sides, on, own = [_valued(left, "l", toggled[0]), _valued(right, "r", toggled[1])], list(p.shared()), []
+    has = [spread is not None and set(spread.labels) <= set(t.dims) for t in (left, right)]
+    if spread is not None:
+        if not any(has) or any(set(spread.labels) & set(t.dims) for t, x in zip((left, right), has) if not x):
+            raise TensorError(f"an input has all labels of {spread.labels} or none, and one has them")
+        sides, own = [_dealt(t, df, spread) if x else df for t, df, x in zip((left, right), sides, has)], ["_task"]
+        on += own if all(has) else []
+    both = joined(*sides, on)
     if restrict is not None:
         both = both.filter(restrict)
-    product = both.select(*map(c, p.dest.labels), *_product(left, right, factor * p.factor))
-    if p.contracted() or left.unsummed or right.unsummed:
+    product = both.select(*map(c, own), *map(c, p.dest.labels), *_product(left, right, factor * p.factor))
+    summing = bool(p.contracted()) or any(t.unsummed and not x for t, x in zip((left, right), has))
+    if summing and spread is not None:
+        # sums within the tasks; coordinates that several tasks have are then dealt anew, unless they are few
+        product = product.groupBy(*map(c, p.dest.labels), "_task").agg(*[F.sum(n).alias(n) for n in product.columns[1 + len(p.dest.labels) :]])
+        summing = not set(spread.labels) <= set(p.dest.labels)
+        known = extents(p, (left, right))
+        if summing and (None in known or math.prod(known) > TASK_ROWS):
+            product = product.repartition(spread.tasks, *map(c, p.dest.labels))
+    if summing:
         product = summed([product], p.dest.labels, kind)
     else:
         names = ("re", "im") if kind[0] == "C" else ("v",)

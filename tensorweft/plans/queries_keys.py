@@ -9,7 +9,7 @@ from tensorweft.functions import scalars
 from tensorweft.functions.functors import Registry
 from tensorweft.operators import elementwise as E
 from tensorweft.operators import linalg, reduce, views
-from tensorweft.operators.algebra import add, contract, custom
+from tensorweft.operators.algebra import Spread, add, contract, custom, tasks
 from tensorweft.operators.tensor import Tensor
 from tensorweft.plans import spaces
 from tensorweft.plans.queries import _folder, query
@@ -17,14 +17,14 @@ from tensorweft.plans.runtime import Runtime
 from tensorweft.sources.storage import Catalog, load, read_table, save
 
 
-def Q(spark, d, extents=None) -> Tensor:
+def Q(spark, d, extents=None, sums=True) -> Tensor:
     """Q(o,s): quantities by order and supplier."""
-    return Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "s": "l_suppkey"}, "l_quantity", extents, name="Q")
+    return Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "s": "l_suppkey"}, "l_quantity", extents, name="Q", sums=sums)
 
 
-def N(spark, d) -> Tensor:
+def N(spark, d, sums=True) -> Tensor:
     """N(o,s): line numbers by order and supplier."""
-    return Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "s": "l_suppkey"}, "l_linenumber", name="N")
+    return Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "s": "l_suppkey"}, "l_linenumber", name="N", sums=sums)
 
 
 def L3(spark, d) -> Tensor:
@@ -32,6 +32,12 @@ def L3(spark, d) -> Tensor:
     return Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "p": "l_partkey", "s": "l_suppkey"}, "l_quantity", name="T")
 
 
+def product(spark, d, p: str, by: tuple[str, ...], restrict=None) -> DataFrame:
+    """Of Q and N by the pattern, both summed in the tasks that their rows are dealt over."""
+    spread = Spread(by, tasks(read_table(spark, d, "lineitem")))
+    return contract(p, Q(spark, d, sums=False), N(spark, d, sums=False), restrict=restrict, spread=spread).df
+
+
 def sides(spark, d) -> tuple[int, int]:
     """One more than the largest order and supplier."""
     table = read_table(spark, d, "lineitem")
@@ -53,7 +59,7 @@ def keys_addition(spark, d):
 
 @query(WITH + "SELECT x.s AS a, y.s AS b, sum(x.v * y.v) AS v FROM Q x JOIN N y USING (o) GROUP BY ALL")
 def keys_contraction(spark, d):
-    return contract("D(a,b)+=L(o,a)*R(o,b)", Q(spark, d), N(spark, d)).df
+    return product(spark, d, "D(a,b)+=L(o,a)*R(o,b)", ("o",))
 
 
 @query(WITH + "SELECT o, s, Q.v * N.v AS v FROM Q JOIN N USING (o, s)")
