@@ -9,6 +9,9 @@ at most.
 
 Signs and phases are free, as in any such decomposition; products of the factors aren't. Values below the rounding errors
 of the largest (its product with the longer extent and the machine's epsilon) are zero, and so is what goes with them.
+
+tasks: number of tasks over which the long side's rows are dealt (see algebra.Spread), blocks in turn; without it, shuffles
+have as many as the session says.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from math import prod
 
 from pyspark.sql import functions as F
 
-from tensorweft.operators.algebra import contract
+from tensorweft.operators.algebra import Spread, contract
 from tensorweft.operators.elementwise import fold, permute, unfold
 from tensorweft.operators.tensor import Tensor, TensorError, as_complex, c, settled
 from tensorweft.plans import pattern as P
@@ -53,7 +56,7 @@ def _matrix(t: Tensor, rows: list[str], columns: list[str]) -> Tensor:
     return permute(t, ["_i", "_j"])
 
 
-def triangular(a: Tensor, wide: bool, long: int, short: int):
+def triangular(a: Tensor, wide: bool, long: int, short: int, tasks: int | None = None):
     """The triangular factor R of A = Q R, or of A^H = Q R if the matrix A(_i,_j) is wide: short x short, as an array."""
     import numpy as np
 
@@ -62,7 +65,14 @@ def triangular(a: Tensor, wide: bool, long: int, short: int):
     kind = np.complex128 if whole else np.float64
     blocks = -(-long // height)
     parts = [F.col(x).cast("double").alias(x) for x in (("re", "im") if whole else ("v",))]
-    rows = settled(a).df.select(F.floor(c(down) / height).cast("long").alias("block"), F.pmod(c(down), F.lit(height)).alias("x"), c(across).alias("y"), *parts)
+    placed = lambda df: df.select(F.floor(c(down) / height).cast("long").alias("block"), F.pmod(c(down), F.lit(height)).alias("x"), c(across).alias("y"), *parts)
+    if tasks is None:
+        rows, keys = placed(settled(a).df), ["block"]
+    else:
+        n, keys = max(1, min(blocks, tasks)), ["_task", "block"]
+        rows = placed(a.df).withColumn("_task", F.pmod("block", F.lit(n)).cast("int")).repartitionById(n, F.col("_task"))
+        if a.unsummed:
+            rows = rows.groupBy(*keys, "x", "y").agg(*[F.sum(x).alias(x) for x in (("re", "im") if whole else ("v",))])
 
     def factor(m) -> bytes:
         r = np.linalg.qr(m, mode="r")
@@ -81,7 +91,7 @@ def triangular(a: Tensor, wide: bool, long: int, short: int):
         m = np.vstack([np.frombuffer(x, kind).reshape(short, short) for x in frame["r"]])
         return pd.DataFrame({"block": [int(frame["block"].iloc[0]) // FAN], "r": [factor(m)]})
 
-    factors = rows.groupBy("block").applyInPandas(first, "block long, r binary")
+    factors = rows.groupBy(*keys).applyInPandas(first, "block long, r binary")
     while blocks > 1:
         factors = factors.groupBy(F.floor(F.col("block") / FAN)).applyInPandas(more, "block long, r binary")
         blocks = -(-blocks // FAN)
@@ -89,7 +99,7 @@ def triangular(a: Tensor, wide: bool, long: int, short: int):
     return np.frombuffer(found[0]["r"], kind).reshape(short, short).copy() if found else np.zeros((short, short), kind)
 
 
-def svd(p: P.Pattern | str, t: Tensor, k: int | None = None, inner_extents: tuple[int, ...] | None = None, absorb: str = "none") -> tuple[Tensor, Tensor, Tensor]:
+def svd(p: P.Pattern | str, t: Tensor, k: int | None = None, inner_extents: tuple[int, ...] | None = None, absorb: str = "none", tasks: int | None = None) -> tuple[Tensor, Tensor, Tensor]:
     """(L, S, R) under the pattern's labels; S has the inner labels. k: how many values stay (default all).
 
     absorb: "left", "right" or "both" (its root to each) puts S into the factors. Inner labels beyond the first are
@@ -111,7 +121,7 @@ def svd(p: P.Pattern | str, t: Tensor, k: int | None = None, inner_extents: tupl
     spark, whole = t.df.sparkSession, t.complex
     a = _matrix(t, rows, columns)
     wide = m <= n
-    _, values, turned = np.linalg.svd(triangular(a, wide, max(m, n), small))
+    _, values, turned = np.linalg.svd(triangular(a, wide, max(m, n), small, tasks))
     s, vectors = values[:k], turned.conj().T[:, :k]
     live = s > np.finfo(float).eps * max(m, n) * (s[0] if len(s) else 0.0)
     s, vectors = np.where(live, s, 0.0), vectors * live
@@ -121,10 +131,11 @@ def svd(p: P.Pattern | str, t: Tensor, k: int | None = None, inner_extents: tupl
     scaled = Tensor.from_numpy(spark, vectors * inverse, ("_i" if wide else "_j", "_k"), "L")
     scaled = as_complex(scaled) if whole else scaled
     # A = U S V^H: V^H = (1/S) U^H A, or U = A V (1/S)
+    spread = None if tasks is None else Spread(("j" if wide else "i",), tasks)
     if wide:
-        left, right = own, contract("R(k,j)+=U+(i,k)*A(i,j)", scaled, a)
+        left, right = own, contract("R(k,j)+=U+(i,k)*A(i,j)", scaled, a, spread=spread)
     else:
-        left, right = contract("L(i,k)+=A(i,j)*V(j,k)", a, scaled), permute(_conj(own), ["_k", "_j"])
+        left, right = contract("L(i,k)+=A(i,j)*V(j,k)", a, scaled, spread=spread), permute(_conj(own), ["_k", "_j"])
     left, right = left.relabel(["_i", "_k"]), right.relabel(["_k", "_j"])
     power = {"none": (0.0, 0.0), "left": (1.0, 0.0), "right": (0.0, 1.0), "both": (0.5, 0.5)}[absorb]
     for side, x in enumerate(power):
@@ -170,7 +181,7 @@ def orthogonalise(p: P.Pattern | str, t: Tensor) -> Tensor:
     return contract(p, left, right)
 
 
-def gram_schmidt(p: P.Pattern | str, t: Tensor, tiny: float = 1e-12) -> Tensor:
+def gram_schmidt(p: P.Pattern | str, t: Tensor, tiny: float = 1e-12, tasks: int | None = None) -> Tensor:
     """The columns of the matrix (labels of R) made orthonormal one after the other, first fastest, in t's own shape.
 
     A column of which less than `tiny` of its norm is left once the ones before are taken out depends on them: it becomes
@@ -186,7 +197,7 @@ def gram_schmidt(p: P.Pattern | str, t: Tensor, tiny: float = 1e-12) -> Tensor:
         raise TensorError(f"labels on both sides and {SIDE} columns at most are needed")
     a = _matrix(t, rows, columns)
     # the triangular factor's columns have the products of the matrix's own, so what makes the ones orthonormal makes the others
-    made_of, r = np.eye(n, dtype=complex if t.complex else float), triangular(a, False, prod(extent[x] for x in rows), n)
+    made_of, r = np.eye(n, dtype=complex if t.complex else float), triangular(a, False, prod(extent[x] for x in rows), n, tasks)
     norms = np.linalg.norm(r, axis=0)
     for j in range(n):
         for _ in range(2):
@@ -198,11 +209,12 @@ def gram_schmidt(p: P.Pattern | str, t: Tensor, tiny: float = 1e-12) -> Tensor:
         r[:, j] *= scale
         made_of[:, j] *= scale
     turn = Tensor.from_numpy(t.df.sparkSession, made_of, ("_j", "_q"))
-    made = contract("D(i,q)+=A(i,j)*B(j,q)", a, as_complex(turn) if t.complex else turn).relabel(["_i", "_j"])
+    spread = None if tasks is None else Spread(("i",), tasks)
+    made = contract("D(i,q)+=A(i,j)*B(j,q)", a, as_complex(turn) if t.complex else turn, spread=spread).relabel(["_i", "_j"])
     for side, names in (("_i", rows), ("_j", columns)):
         made = unfold(made, side, names, [extent[x] for x in names]) if len(names) > 1 else made.relabel([names[0] if d == side else d for d in made.dims])
     return permute(made, list(p.dest.labels)).named(t.name)
 
 
-def singular_values(p: P.Pattern | str, t: Tensor, k: int | None = None) -> Tensor:
-    return svd(p, t, k)[1]
+def singular_values(p: P.Pattern | str, t: Tensor, k: int | None = None, tasks: int | None = None) -> Tensor:
+    return svd(p, t, k, tasks=tasks)[1]

@@ -45,6 +45,12 @@ def sides(spark, d) -> tuple[int, int]:
     return int(a or 0), int(b or 0)
 
 
+def groups(spark, d) -> tuple[Tensor, int]:
+    """T(o,g): quantities by order and one of eight groups of suppliers; and the tasks that the table's lines need."""
+    table, (rows, _) = read_table(spark, d, "lineitem"), sides(spark, d)
+    return Tensor.from_table(table, {"o": "l_orderkey", "g": F.expr("l_suppkey % 8")}, "l_quantity", (rows, 8), sums=False), tasks(table)
+
+
 WITH = """WITH Q AS (SELECT l_orderkey AS o, l_suppkey AS s, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
 N AS (SELECT l_orderkey AS o, l_suppkey AS s, CAST(sum(l_linenumber) AS DOUBLE) AS v FROM lineitem GROUP BY ALL),
 T AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
@@ -301,15 +307,13 @@ def array_hashes(spark, d):
 @query(WITH + "SELECT s AS x, t AS y, CAST(CASE WHEN s = t THEN 1 ELSE 0 END AS DOUBLE) AS v FROM (SELECT DISTINCT CAST(unnest(generate_series(0, 7)) AS BIGINT) AS s), (SELECT CAST(unnest(generate_series(0, 7)) AS BIGINT) AS t)")
 def keys_orthogonal(spark, d):
     """Eight groups of suppliers by all orders: products of the columns made orthonormal, to nine digits."""
-    rows, _ = sides(spark, d)
-    t = Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "g": F.expr("l_suppkey % 8")}, "l_quantity", (rows, 8))
-    u = linalg.gram_schmidt("D(o,g)=L(o,m)*R(m,g)", t)
-    return contract("G(x,y)+=L(o,x)*R(o,y)", u, u).df.select("x", "y", (F.round("v", 9) + F.lit(0.0)).alias("v"))
+    t, many = groups(spark, d)
+    u = linalg.gram_schmidt("D(o,g)=L(o,m)*R(m,g)", t, tasks=many)
+    return contract("G(x,y)+=L(o,x)*R(o,y)", u, u, spread=Spread(("o",), many)).df.select("x", "y", (F.round("v", 9) + F.lit(0.0)).alias("v"))
 
 
 @query(WITH + "SELECT round(sum(v * v), 4) AS squares FROM (SELECT l_orderkey AS o, l_suppkey % 8 AS g, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)")
 def keys_singular_values(spark, d) -> DataFrame:
     """The sum of the squares of the singular values is that of the elements."""
-    rows, _ = sides(spark, d)
-    t = Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "g": F.expr("l_suppkey % 8")}, "l_quantity", (rows, 8))
-    return linalg.singular_values("D(o,g)=L(o,m)*R(m,g)", t).df.agg(F.round(F.sum(F.col("v") * F.col("v")), 4).alias("squares"))
+    t, many = groups(spark, d)
+    return linalg.singular_values("D(o,g)=L(o,m)*R(m,g)", t, tasks=many).df.agg(F.round(F.sum(F.col("v") * F.col("v")), 4).alias("squares"))

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tensorweft.operators import algebra
+from tensorweft.operators import algebra, linalg
 from tensorweft.operators.algebra import Spread, contract
 from tensorweft.operators.tensor import Tensor, TensorError
 from tensorweft.plans.queries import QUERIES
@@ -72,3 +72,32 @@ def test_no_rows_and_labels(spark):
     for labels in (("o", "a"), ("x",)):
         with pytest.raises(TensorError):
             contract("D(a,b)+=L(o,a)*R(o,b)", one, one, spread=Spread(labels, 3))
+
+
+def test_tasks_of_keys_orthogonal(spark, sf_dir, monkeypatch):
+    """The sum of each task's 64 products is left to the session's four."""
+    assert sorted(queried(spark, sf_dir, monkeypatch, "keys_orthogonal")) == [4] + [12] * 4
+
+
+@pytest.mark.parametrize("kind", ["R8", "C8"])
+@pytest.mark.parametrize("sums", [False, True])
+def test_decompositions_by_tasks(spark, monkeypatch, kind, sums):
+    """The same with rows dealt over tasks as numpy gives, in blocks of 12 elements; of the sides, either may be long."""
+    monkeypatch.setattr(linalg, "BLOCK", 12)
+    df = spark.createDataFrame(ROWS, "o int, s int, a int, b int").repartition(3)
+    t = Tensor.from_table(df, {"o": "o", "s": "s"}, ("a", "b") if kind == "C8" else "a", (10, 6), kind, sums=sums)
+    want = dense(ROWS, 2 if kind == "C8" else 0)
+    for tasks in (1, 3, 50):
+        u = linalg.gram_schmidt("D(o,s)=L(o,m)*R(m,s)", t, tasks=tasks).to_numpy()
+        assert np.allclose(u.conj().T @ u, np.eye(6)) and np.allclose(u @ (u.conj().T @ want), want)
+    for pattern, m in (("D(o,s)=L(o,m)*R(m,s)", want), ("D(s,o)=L(s,m)*R(m,o)", want.T)):
+        x = t if m is want else algebra.add_pattern("D(s,o)+=L(o,s)", t)
+        left, middle, right = linalg.svd(pattern, x, tasks=3)
+        assert np.allclose((left.to_numpy() * middle.to_numpy()) @ right.to_numpy(), m)
+        assert np.allclose(middle.to_numpy(), np.linalg.svd(m)[1])
+
+
+def test_decompositions_without_rows(spark):
+    for shape in ((5, 3), (0, 3)):
+        none = Tensor.zeros(spark, ("o", "s"), shape)
+        assert linalg.gram_schmidt("D(o,s)=L(o,m)*R(m,s)", none, tasks=4).df.filter("v <> 0").count() == 0
