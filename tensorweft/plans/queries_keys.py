@@ -70,13 +70,13 @@ def keys_contraction(spark, d):
 
 @query(WITH + "SELECT o, s, Q.v * N.v AS v FROM Q JOIN N USING (o, s)")
 def keys_hadamard(spark, d):
-    return contract("H(o,s)+=L(o,s)*R(o,s)", Q(spark, d), N(spark, d)).df
+    return product(spark, d, "H(o,s)+=L(o,s)*R(o,s)", ("o", "s"))
 
 
 @query(WITH + "SELECT o, x.s AS a, y.s AS b, sum(x.v * y.v) AS v FROM Q x JOIN N y USING (o) WHERE x.s < y.s GROUP BY ALL")
 def keys_hyper_contraction(spark, d):
     """A batch label, no sum, restricted to a < b."""
-    return contract("D(o,a,b)+=L(o,a)*R(o,b)", Q(spark, d), N(spark, d), restrict=F.col("a") < F.col("b")).df
+    return product(spark, d, "D(o,a,b)+=L(o,a)*R(o,b)", ("o",), F.col("a") < F.col("b"))
 
 
 @query(WITH + "SELECT o, sum(v) AS v FROM T WHERE p = s GROUP BY o")

@@ -101,3 +101,8 @@ def test_decompositions_without_rows(spark):
     for shape in ((5, 3), (0, 3)):
         none = Tensor.zeros(spark, ("o", "s"), shape)
         assert linalg.gram_schmidt("D(o,s)=L(o,m)*R(m,s)", none, tasks=4).df.filter("v <> 0").count() == 0
+
+
+@pytest.mark.parametrize("name", ["keys_hadamard", "keys_hyper_contraction"])
+def test_tasks_of_products_without_sums(spark, sf_dir, monkeypatch, name):
+    assert queried(spark, sf_dir, monkeypatch, name) == [12, 12]
