@@ -5,8 +5,8 @@ sum is partial on the map side and Catalyst picks the join. Labels that nothing
 without a shared label have no key to join by: the side that is small, by a count of it, is broadcast; if neither is,
 both are dealt over a grid of blocks, so that no task holds a whole side.
 
-A contraction that is told to spread deals its rows over as many tasks as their number needs (see Spread), and sums and
-joins within these tasks, so that a task's memory doesn't grow with the input.
+A contraction, addition or custom operation that is told to spread deals its rows over as many tasks as their number needs
+(see Spread), and sums and joins within these tasks, so that a task's memory doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tensorweft.operators.tensor import VALUE, Tensor, TensorError, as_complex, c, dense, summed, wider
@@ -39,6 +39,11 @@ class Spread:
         return df.withColumn("_task", F.pmod(F.xxhash64(*[c(x).cast("bigint") for x in self.labels]), F.lit(self.tasks)).cast("int")).repartitionById(self.tasks, F.col("_task"))
 
 
+def grouped(df: DataFrame, dims: Sequence[str], spread: Spread | None = None) -> GroupedData:
+    """Rows by coordinates; with spread, within the tasks that it deals them to."""
+    return df.groupBy(*map(c, dims)) if spread is None else spread.deal(df).groupBy(*map(c, dims), "_task")
+
+
 def tasks(df: DataFrame) -> int:
     """That a spread operation on df's rows needs, by a count of them; as many as a shuffle has at least."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
@@ -109,8 +114,7 @@ def joined(left: DataFrame, right: DataFrame, on: Sequence[str], row_bytes: int
 
 def _dealt(t: Tensor, df: DataFrame, spread: Spread) -> DataFrame:
     """The rows of df, _valued of t, with their tasks and a row per coordinate."""
-    out = spread.deal(df)
-    return out.groupBy(*map(c, t.dims), "_task").agg(*[F.sum(n).alias(n) for n in df.columns[t.rank :]]) if t.unsummed else out
+    return grouped(df, t.dims, spread).agg(*[F.sum(n).alias(n) for n in df.columns[t.rank :]]) if t.unsummed else spread.deal(df)
 
 
 def contract(p: P.Pattern | str, left: Tensor, right: Tensor, into: Tensor | None = None, factor: complex | float = 1.0, accumulate: bool = True, restrict: Column | None = None, spread: Spread | None = None) -> Tensor:
@@ -157,7 +161,7 @@ def contract(p: P.Pattern | str, left: Tensor, right: Tensor, into: Tensor | Non
     return add(out, into)
 
 
-def add(t: Tensor, into: Tensor, factor: complex | float = 1.0) -> Tensor:
+def add(t: Tensor, into: Tensor, factor: complex | float = 1.0, spread: Spread | None = None) -> Tensor:
     """into + factor x t, dimension by dimension: a union and one sum by coordinates."""
     from tensorweft.operators.elementwise import scale
 
@@ -172,7 +176,12 @@ def add(t: Tensor, into: Tensor, factor: complex | float = 1.0) -> Tensor:
     if kind[0] == "C":
         t, into = as_complex(t), as_complex(into)
     known = tuple(b if b is not None else a for a, b in zip(t.extents, into.extents, strict=True))
-    return Tensor(summed([into.df, t.df], into.dims, kind), into.dims, known, kind, into.name)
+    if spread is None:
+        total = summed([into.df, t.df], into.dims, kind)
+    else:
+        names = ("re", "im") if kind[0] == "C" else ("v",)
+        total = grouped(into.df.unionByName(t.df), into.dims, spread).agg(*[F.sum(n).cast(VALUE[kind]).alias(n) for n in names]).drop("_task")
+    return Tensor(total, into.dims, known, kind, into.name)
 
 
 def add_pattern(p: P.Pattern | str, t: Tensor, into: Tensor | None = None, factor: complex | float = 1.0) -> Tensor:
@@ -207,7 +216,7 @@ def matmul(left: Tensor, right: Tensor, rank: int, factor: complex | float = 1.0
     return contract(f"D({','.join(a[: left.rank - n] + b[n:])})+=L({','.join(a)})*R({','.join(b)})", left, right, into, factor, accumulate)
 
 
-def custom(f: Callable[..., Column | tuple[Column, Column]], *tensors: Tensor, fills: bool = False) -> Tensor:
+def custom(f: Callable[..., Column | tuple[Column, Column]], *tensors: Tensor, fills: bool = False, spread: Spread | None = None) -> Tensor:
     """T = f(values of all at a coordinate) for tensors of one shape; missing coordinates read as zero.
 
     Values are columns; if one of the tensors is complex, all are pairs of columns (re, im), and so is f's result. One
@@ -231,7 +240,7 @@ def custom(f: Callable[..., Column | tuple[Column, Column]], *tensors: Tensor, f
     union = parts[0]
     for x in parts[1:]:
         union = union.unionByName(x)
-    lined = union.groupBy(*map(c, first.dims)).agg(*[F.sum(n).alias(n) for n in names])
+    lined = grouped(union, first.dims, spread).agg(*[F.sum(n).alias(n) for n in names])
     values = [tuple(F.col(f"_{j}_{v}") for v in first.values) for j in range(len(tensors))]
     made = f(*(values if whole else [v[0] for v in values]))
     columns = [x.cast("double").alias(n) for x, n in zip(made if whole else (made,), first.values, strict=True)]

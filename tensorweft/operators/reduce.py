@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorweft.operators.algebra import Spread, grouped
 from tensorweft.operators.tensor import Tensor, c, modulus, settled
 
 ABSOLUTE, RELATIVE = 1e-13, 1e-2
@@ -58,7 +59,7 @@ def has_nan(t: Tensor) -> DataFrame:
     return _one(t, F.coalesce(F.max(bad), F.lit(False)), "has_nan")
 
 
-def compare(a: Tensor, b: Tensor, relative: bool = False, threshold: float | None = None) -> DataFrame:
+def compare(a: Tensor, b: Tensor, relative: bool = False, threshold: float | None = None, spread: Spread | None = None) -> DataFrame:
     """(diff_count): coordinates where the two differ.
 
     Elements differ if the modulus of their difference is above the threshold (1e-13), or, compared relatively, above the
@@ -68,7 +69,7 @@ def compare(a: Tensor, b: Tensor, relative: bool = False, threshold: float | Non
     threshold = (RELATIVE if relative else ABSOLUTE) if threshold is None else threshold
     names = a.values if a.complex == b.complex else ("re", "im")
     part = lambda t, s: t.df.select(*map(c, a.dims), *[(F.col(v) if v in t.values else F.col("v") if v == "re" else F.lit(0.0)).cast("double").alias(f"{s}_{v}") for v in names], *[F.lit(0.0).alias(f"{'b' if s == 'a' else 'a'}_{v}") for v in names])
-    lined = part(a, "a").unionByName(part(b, "b")).groupBy(*map(c, a.dims)).agg(*[F.sum(f"{s}_{v}").alias(f"{s}_{v}") for s in "ab" for v in names])
+    lined = grouped(part(a, "a").unionByName(part(b, "b")), a.dims, spread).agg(*[F.sum(f"{s}_{v}").alias(f"{s}_{v}") for s in "ab" for v in names])
     size = lambda s: F.hypot(f"{s}_re", f"{s}_im") if len(names) == 2 else F.abs(f"{s}_v")
     gap = F.hypot(F.col("a_re") - F.col("b_re"), F.col("a_im") - F.col("b_im")) if len(names) == 2 else F.abs(F.col("a_v") - F.col("b_v"))
     differs = ~F.isnan(gap) & (gap > (threshold * F.greatest(size("a"), size("b")) if relative else F.lit(threshold)))

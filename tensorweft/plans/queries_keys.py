@@ -32,10 +32,15 @@ def L3(spark, d) -> Tensor:
     return Tensor.from_table(read_table(spark, d, "lineitem"), {"o": "l_orderkey", "p": "l_partkey", "s": "l_suppkey"}, "l_quantity", name="T")
 
 
+def dealt(spark, d, *by: str) -> tuple[Tensor, Tensor, Spread]:
+    """Q and N, to be summed in the tasks that their rows are dealt over by some labels."""
+    return Q(spark, d, sums=False), N(spark, d, sums=False), Spread(by, tasks(read_table(spark, d, "lineitem")))
+
+
 def product(spark, d, p: str, by: tuple[str, ...], restrict=None) -> DataFrame:
-    """Of Q and N by the pattern, both summed in the tasks that their rows are dealt over."""
-    spread = Spread(by, tasks(read_table(spark, d, "lineitem")))
-    return contract(p, Q(spark, d, sums=False), N(spark, d, sums=False), restrict=restrict, spread=spread).df
+    """Of Q and N by the pattern."""
+    q, n, spread = dealt(spark, d, *by)
+    return contract(p, q, n, restrict=restrict, spread=spread).df
 
 
 def sides(spark, d) -> tuple[int, int]:
@@ -60,7 +65,8 @@ X AS (SELECT max(l_orderkey) + 1 AS no, max(l_suppkey) + 1 AS ns FROM lineitem)
 
 @query(WITH + "SELECT o, s, sum(v) AS v FROM (SELECT o, s, v FROM Q UNION ALL SELECT o, s, v * -3 FROM N) GROUP BY ALL")
 def keys_addition(spark, d):
-    return add(N(spark, d), Q(spark, d), -3.0).df
+    q, n, spread = dealt(spark, d, "o", "s")
+    return add(n, q, -3.0, spread).df
 
 
 @query(WITH + "SELECT x.s AS a, y.s AS b, sum(x.v * y.v) AS v FROM Q x JOIN N y USING (o) GROUP BY ALL")
@@ -103,7 +109,8 @@ def keys_folding(spark, d):
 
 @query(WITH + "SELECT coalesce(Q.o, N.o) AS o, coalesce(Q.s, N.s) AS s, least(coalesce(Q.v, 0), 7 * coalesce(N.v, 0)) AS v FROM Q FULL JOIN N ON Q.o = N.o AND Q.s = N.s")
 def keys_custom(spark, d):
-    return custom(lambda x, y: F.least(x, y * 7), Q(spark, d), N(spark, d)).df
+    q, n, spread = dealt(spark, d, "o", "s")
+    return custom(lambda x, y: F.least(x, y * 7), q, n, spread=spread).df
 
 
 @query(WITH + "SELECT sum(abs(v)) AS norm1, sum(v * v) AS norm2, max(abs(v)) AS max_abs, min(abs(v)) AS least FROM Q")
@@ -117,9 +124,9 @@ _BOTH = "SELECT coalesce(Q.v, 0) AS x, coalesce(N.v, 0) AS y FROM Q FULL JOIN N
 
 @query(WITH + f"SELECT sum(CASE WHEN abs(x - y) > 1e-13 THEN 1 ELSE 0 END) AS diff_absolute, sum(CASE WHEN abs(x - y) > 0.5 * greatest(x, y) THEN 1 ELSE 0 END) AS diff_relative FROM ({_BOTH})")
 def keys_comparison(spark, d):
-    q, n = Q(spark, d), N(spark, d)
+    q, n, spread = dealt(spark, d, "o", "s")
     named = lambda df, name: df.select(F.col("diff_count").alias(name))
-    return named(reduce.compare(q, n), "diff_absolute").crossJoin(named(reduce.compare(q, n, relative=True, threshold=0.5), "diff_relative"))
+    return named(reduce.compare(q, n, spread=spread), "diff_absolute").crossJoin(named(reduce.compare(q, n, relative=True, threshold=0.5, spread=spread), "diff_relative"))
 
 
 @query("SELECT bool_or(l_linenumber = 7) AS has_nan FROM lineitem")

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tensorweft.operators import algebra, linalg
+from tensorweft.operators import algebra, linalg, reduce
 from tensorweft.operators.algebra import Spread, contract
 from tensorweft.operators.tensor import Tensor, TensorError
 from tensorweft.plans.queries import QUERIES
@@ -106,3 +106,21 @@ def test_decompositions_without_rows(spark):
 @pytest.mark.parametrize("name", ["keys_hadamard", "keys_hyper_contraction"])
 def test_tasks_of_products_without_sums(spark, sf_dir, monkeypatch, name):
     assert queried(spark, sf_dir, monkeypatch, name) == [12, 12]
+
+
+@pytest.mark.parametrize("name", ["keys_addition", "keys_custom"])
+def test_tasks_of_sums(spark, sf_dir, monkeypatch, name):
+    assert queried(spark, sf_dir, monkeypatch, name) == [12]
+
+
+@pytest.mark.parametrize("sums", [False, True])
+def test_sums_by_tasks(spark, sums):
+    df = spark.createDataFrame(ROWS, "o int, s int, a int, b int").repartition(3)
+    made = lambda v, kind="R8": Tensor.from_table(df, {"o": "o", "s": "s"}, v, (10, 6), kind, sums=sums)
+    x, y, z = dense(ROWS, 0).real, dense(ROWS, 1).real, dense(ROWS, 2)
+    spread = Spread(("o", "s"), 5)
+    assert np.array_equal(algebra.add(made("a"), made("b"), 3.0, spread).to_numpy(), y + 3 * x)
+    assert np.array_equal(algebra.add(made("a"), made(("a", "b"), "C8"), 2.0, spread).to_numpy(), z + 2 * x)
+    got = algebra.custom(algebra.F.greatest, made("a"), made("b"), spread=spread)
+    assert np.array_equal(got.to_numpy(), np.maximum(x, y)) and got.df.count() == got.df.select("o", "s").distinct().count()
+    assert reduce.compare(made("a"), made("b"), spread=spread).first()[0] == (x != y).sum()
